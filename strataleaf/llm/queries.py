@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataleaf.llm import lookalikes, tokens
+from strataleaf.llm import lookalikes, markup, tokens
 from strataleaf.sources.tables import table
 
 
@@ -44,6 +44,27 @@ def p1_texts(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def _marked_up(spark: SparkSession, directory: str) -> DataFrame:
+    responses = table(spark, directory, "responses").select(
+        F.lit("response").alias("record_kind"), F.col("response_id").alias("record_id"), F.col("body").alias("text")
+    )
+    blocks = table(spark, directory, "blocks").select(
+        F.lit("block").alias("record_kind"), F.col("block_id").alias("record_id"), F.col("raw").alias("text")
+    )
+    return responses.unionByName(blocks)
+
+
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    return markup.kinds_found(_marked_up(spark, directory), ["record_kind", "record_id"], F.col("text"))
+
+
+def p2_parts(spark: SparkSession, directory: str) -> DataFrame:
+    """The clean text of every response and block, in parts: ``record_kind, record_id, position, kind, text``."""
+    return _marked_up(spark, directory).select(
+        "record_kind", "record_id", F.posexplode(markup.clean_parts(F.col("text"))).alias("position", "part")
+    ).select("record_kind", "record_id", "position", "part.kind", "part.text")
+
+
 def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
     return tokens.encoded(table(spark, directory, "documents"), ["doc_id"], F.col("text"))
 
@@ -61,6 +82,8 @@ def p7_round_trip(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_texts": p1_texts,
+    "p2_found": p2_found,
+    "p2_parts": p2_parts,
     "p7_ids": p7_ids,
     "p7_offsets": p7_offsets,
     "p7_round_trip": p7_round_trip,
