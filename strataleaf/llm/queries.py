@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataleaf.llm import lookalikes, markup, tokens
+from strataleaf.llm import leakage, lookalikes, markup, tokens
 from strataleaf.sources.tables import table
 
 
@@ -79,6 +79,29 @@ def p7_round_trip(spark: SparkSession, directory: str) -> DataFrame:
     return tokens.decoded(p7_ids(spark, directory), ["doc_id"], F.col("ids"))
 
 
+def _leaked(spark: SparkSession, directory: str) -> DataFrame:
+    return leakage.leaked(
+        table(spark, directory, "documents"), "doc_id", F.col("text"), table(spark, directory, "bench_items"), "item_id", "item_text", "answer_text"
+    )
+
+
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    return _leaked(spark, directory).select("doc_id", "item_id")
+
+
+def p8_report(spark: SparkSession, directory: str) -> DataFrame:
+    """How many documents hold each item, how much of it, and how many its answer too."""
+    return (
+        _leaked(spark, directory)
+        .groupBy("item_id")
+        .agg(
+            F.count(F.lit(1)).alias("documents"),
+            F.round(F.max("coverage"), 4).alias("most"),
+            F.count_if("holds_answer").alias("with_answer"),
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_texts": p1_texts,
@@ -87,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p7_offsets": p7_offsets,
     "p7_round_trip": p7_round_trip,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
 }
 ORACLES: dict[str, str] = {
     "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
