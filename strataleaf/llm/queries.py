@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataleaf.llm import leakage, lookalikes, markup, tokens
+from strataleaf.llm import leakage, lookalikes, markup, tokens, truncation
 from strataleaf.sources.tables import table
 
 
@@ -102,6 +102,20 @@ def p8_report(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    return truncation.truncated(table(spark, directory, "documents"), ["doc_id"], F.col("text")).where("cut").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, directory: str) -> DataFrame:
+    """How many of each source's documents there are, how many are cut, and their part."""
+    return (
+        truncation.truncated(table(spark, directory, "documents"), ["doc_id", "source"], F.col("text"))
+        .groupBy("source")
+        .agg(F.count(F.lit(1)).alias("documents"), F.count_if("cut").alias("cut"))
+        .withColumn("rate", F.col("cut") / F.col("documents"))
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_texts": p1_texts,
@@ -112,6 +126,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_round_trip": p7_round_trip,
     "p8_found": p8_found,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_rates": p9_rates,
 }
 ORACLES: dict[str, str] = {
     "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
