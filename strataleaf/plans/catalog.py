@@ -7,18 +7,11 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataleaf.plans import dealt
+from strataleaf.plans import dealt, records, texts
 from strataleaf.session import ship
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": dealt.p3_found,
-    "p3_changed_fields": dealt.p3_changed_fields,
-    "p4_found": dealt.p4_found,
-    "p4_report": dealt.p4_report,
-    "p5_found": dealt.p5_found,
-    "p6_found": dealt.p6_found,
-}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dealt.QUERIES | texts.R.queries | records.R.queries
+ORACLES: dict[str, str] = dealt.ORACLES | texts.R.oracles | records.R.oracles
 
 
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
