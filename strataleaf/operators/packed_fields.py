@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from math import log
+from math import exp, inf, log
 from zlib import crc32
 
 import numpy as np
@@ -32,6 +32,8 @@ SPAN = 4
 PASSES = 4
 #: Prior weight of a value.
 MORE = 8.0
+#: Atoms of a field from which sums are made of logarithms.
+LONG = 50
 
 _SPACE = " \t\r\n\x0b\x0c\x85\xa0  "
 #: A quoted span: it opens at the start or after white space or a delimiter and closes before one; a doubled quote inside stands for one.
@@ -100,21 +102,34 @@ class Lattice:
                     break
 
 
-def expected(lattice: Lattice, values: np.ndarray) -> Iterator[tuple[int, float]]:
+def expected(lattice: Lattice, values: list[float]) -> Iterator[tuple[int, float]]:
     """Forward-backward: each possible value's bucket and how often it is expected."""
+    if lattice.size > LONG:
+        yield from _expected_by_logs(lattice, values)
+        return
     weights = [MORE * values[bucket] for _, _, bucket in lattice.edges]
     forward, backward = [0.0] * (lattice.size + 1), [0.0] * (lattice.size + 1)
     forward[0] = backward[lattice.size] = 1.0
-    # a long field's products are kept in range by scaling each atom
-    scale = max(weights, default=1.0) or 1.0
     for (i, j, _), w in zip(lattice.edges, weights):
-        forward[j] += forward[i] * w / scale
+        forward[j] += forward[i] * w
     for (i, j, _), w in zip(reversed(lattice.edges), reversed(weights)):
-        backward[i] += backward[j] * w / scale
-    total = forward[lattice.size]
-    if total > 0.0:
+        backward[i] += backward[j] * w
+    if (total := forward[lattice.size]) > 0.0:
         for (i, j, bucket), w in zip(lattice.edges, weights):
-            yield bucket, forward[i] * w / scale * backward[j] / total
+            yield bucket, forward[i] * w * backward[j] / total
+
+
+def _expected_by_logs(lattice: Lattice, values: list[float]) -> Iterator[tuple[int, float]]:
+    """The same for long fields, whose products leave the range of floating point numbers."""
+    weights = [log(MORE * values[bucket]) for _, _, bucket in lattice.edges]
+    forward, backward = [-inf] * (lattice.size + 1), [-inf] * (lattice.size + 1)
+    forward[0] = backward[lattice.size] = 0.0
+    for (i, j, _), w in zip(lattice.edges, weights):
+        forward[j] = np.logaddexp(forward[j], forward[i] + w)
+    for (i, j, _), w in zip(reversed(lattice.edges), reversed(weights)):
+        backward[i] = np.logaddexp(backward[i], backward[j] + w)
+    for (i, j, bucket), w in zip(lattice.edges, weights):
+        yield bucket, exp(forward[i] + w + backward[j] - forward[lattice.size])
 
 
 def best_path(lattice: Lattice, values: np.ndarray) -> list[tuple[int, int]]:

@@ -7,11 +7,11 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataleaf.plans import dealt, records, texts
+from strataleaf.plans import dealt, records, streams, texts
 from strataleaf.session import ship
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dealt.QUERIES | texts.R.queries | records.R.queries
-ORACLES: dict[str, str] = dealt.ORACLES | texts.R.oracles | records.R.oracles
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dealt.QUERIES | texts.R.queries | records.R.queries | streams.R.queries
+ORACLES: dict[str, str] = dealt.ORACLES | texts.R.oracles | records.R.oracles | streams.R.oracles
 
 
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

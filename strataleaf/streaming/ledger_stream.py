@@ -7,14 +7,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LOG = "fetch_id bigint, url string, status int, sha256 string, fetched_at timestamp"
 
 
-def read_log(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
+def read_log(spark: SparkSession, path: str, files: int = 1000, schema: str | T.StructType = LOG) -> DataFrame:
     """A folder of Parquet files with fetches, read as they come, so many files in each batch."""
-    return spark.readStream.schema(LOG).option("maxFilesPerTrigger", files).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
