@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-QUEUE = T.StructType.fromDDL("seq bigint, kind string, url string, tier int, label string, act_id string, chapter_id string, pa_number string")
+QUEUE = "seq bigint, kind string, url string, tier int, label string, act_id string, chapter_id string, pa_number string"
 
 
 def write_queue(queue: DataFrame, path: str) -> None:
     """SRC7: a work queue as JSON lines; what was there is replaced."""
-    queue.select(*[c for c in QUEUE.names if c in queue.columns]).write.mode("overwrite").json(path)
+    queue.select(*[name for name in (part.split()[0] for part in QUEUE.split(", ")) if name in queue.columns]).write.mode("overwrite").json(path)
 
 
 def read_queue(spark: SparkSession, path: str) -> DataFrame:
