@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ LATIN_OF_GREEK = {
 # Characters that are not seen at all, and hyphens drawn like hyphen-minus.
 UNSEEN = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿" + "".join(map(chr, range(0xFE00, 0xFE10)))
 HYPHENS = "‐‑﹣－"
-#: What the ordinary member of a class is given beyond its count in the corpus, so that a tiny corpus can't outvote it.
+#: Texts that the ordinary member of a class is given beyond those that hold it, so that a tiny corpus can't outvote it.
 ORDINARY = 1000
 
 
@@ -119,12 +119,12 @@ def classes() -> tuple[tuple[tuple[str, ...], frozenset[str]], ...]:
 
 
 @lru_cache(1)
-def automaton() -> ahocorasick.Automaton:
-    """All members of classes, but for ASCII and what is nothing."""
+def pieces() -> ahocorasick.Automaton:
+    """All members of more than one character that aren't all ASCII."""
     found = ahocorasick.Automaton()
     for members, _ in classes():
         for m in members:
-            if m and not (len(m) == 1 and m.isascii()):
+            if len(m) > 1 and not m.isascii():
                 found.add_word(m, m)
     found.make_automaton()
     return found
@@ -146,18 +146,25 @@ def suspects() -> re.Pattern[str]:
 
 
 def count_members(texts: DataFrame) -> dict[str, int]:
-    """How often the corpus, a column ``text``, writes each member of a class; at most as many rows as members."""
+    """In how many texts of the corpus, a column ``text``, each member of a class stands.
+
+    Texts and not places are counted, so that one long text can't outvote the others. At most as many rows as there are
+    members reach the driver.
+    """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ascii_counts, sums = np.zeros(128, "int64"), {}
+        known = {m for members, _ in classes() for m in members if m}
+        joined = [m for m in known if len(m) > 1 and m.isascii()]
+        marks = re.compile("[" + "".join({re.escape(m[-1]) for m in known if len(m) > 1 and not m.isascii()}) + "]")
+        sums: Counter[str] = Counter()
         for batch in batches:
             for text in batch["text"]:
-                codes = np.frombuffer(text.encode("ascii", "ignore"), "uint8")
-                ascii_counts += np.bincount(codes, minlength=128)
-                for _, m in automaton().iter_long(text):
-                    sums[m] = sums.get(m, 0) + 1
-        sums |= {chr(i): int(n) for i, n in enumerate(ascii_counts) if n}
-        yield pd.DataFrame({"member": list(sums), "n": list(sums.values())}).astype({"member": "object", "n": "int64"})
+                sums.update(set(text))
+                sums.update([m for m in joined if m in text])
+                if not text.isascii() and marks.search(text):
+                    sums.update({m for _, m in pieces().iter_long(text)})
+        kept = {m: n for m, n in sums.items() if m in known}
+        yield pd.DataFrame({"member": list(kept), "n": list(kept.values())}).astype({"member": "object", "n": "int64"})
 
     rows = texts.where("text IS NOT NULL").select("text").mapInPandas(counted, "member string, n bigint")
     return dict(rows.groupBy("member").agg(F.sum("n")).toPandas().itertuples(index=False, name=None))
