@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STATES = ("plain", "html", "markdown", "wiki", "latex")
-#: Labelled pages that the potentials are counted on, and added to each count.
-PAGES, SMOOTHING = 1500, 0.05
+#: Labelled pages that the potentials are counted on; what is added to each count of parent and child, and of looks:
+#: a sign that no labelled page has in a state is hardly ever in it, whatever stands around.
+PAGES, SMOOTHING, UNSEEN = 1500, 0.05, 1e-7
 
 # The names of HTML elements.
 ELEMENTS = frozenset(
@@ -252,7 +253,7 @@ def labelled_pages(pages: int = PAGES, seed: int = 11) -> Iterator[tuple[str, st
 @lru_cache(2)
 def potentials(pages: int = PAGES) -> tuple[np.ndarray, np.ndarray]:
     """Log potentials (look given state, state given the parent's), counted on labelled pages."""
-    unary, pair = np.full((len(STATES), len(looks())), SMOOTHING), np.full((len(STATES), len(STATES)), SMOOTHING)
+    unary, pair = np.full((len(STATES), len(looks())), UNSEEN), np.full((len(STATES), len(STATES)), SMOOTHING)
     for text, kind, spans in labelled_pages(pages):
         tree = Tree(text)
         starts = [s for s, _, _ in spans]
