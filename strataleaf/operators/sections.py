@@ -60,10 +60,14 @@ def windows(text: Column) -> Column:
     return F.filter(F.split(text, f"(?={HEADER})"), lambda w: w.rlike(f"^{HEADER}"))
 
 
+#: Put after each trailer before the window is cut there; a lazy pattern up to the trailer would be quadratic.
+_CUT = "\u0001\u0002\u0001"
+
+
 def segments(window: Column) -> Column:
     """The versions in one header's window: each ends with its source trailer; without one, the whole window."""
-    parts = F.regexp_extract_all(window, F.lit(r"(?is)(.*?\(\s*Source:\s*[^)]*?\s*\))"), F.lit(1))
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(window))
+    parts = F.split(F.regexp_replace(window, SOURCE, "$0" + _CUT), _CUT)
+    return F.when(F.size(parts) > 1, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
 def parse_blocks(documents: DataFrame, doc_id: str, text: Column) -> DataFrame:
