@@ -184,7 +184,7 @@ _HEAD = r"\(\s*[0-9]+\s+ILCS\s+[0-9A-Za-z.\-]+\s*/\s*[^)]*?\s*\)"
     r" SELECT doc_id, pos::INT AS pos, ver::INT AS ver, regexp_extract(win, '^\(\s*([0-9]+)', 1) AS chapter, regexp_extract(win, '^\(\s*[0-9]+\s+ILCS\s+([0-9A-Za-z.\-]+)', 1) AS act,"
     r" trim(regexp_replace(regexp_extract(win, '^\(\s*[0-9]+\s+ILCS\s+[0-9A-Za-z.\-]+\s*/\s*([^)]*?)\s*\)', 1), '\s+', ' ', 'g')) AS section,"
     r" nullif(regexp_extract(raw, '\bSec\.\s*([0-9A-Za-z.\-]+)\s*\.', 1), '') AS catchline, md5(raw) AS raw_digest,"
-    f" CASE WHEN regexp_matches(raw, '(?is)\\(\\s*Source:') THEN trim(regexp_replace(regexp_extract(raw, '(?is)\\(\\s*Source:\\s*([^)]*?)\\s*\\)', 1), '{WS}+', ' ', 'g')) END AS source"
+    f" CASE WHEN regexp_matches(raw, '(?is)\\(\\s*Source:\\s*[^)]*?\\s*\\)') THEN trim(regexp_replace(regexp_extract(raw, '(?is)\\(\\s*Source:\\s*([^)]*?)\\s*\\)', 1), '{WS}+', ' ', 'g')) END AS source"
     r" FROM v WHERE regexp_extract(win, '^\(\s*[0-9]+\s+ILCS\s+[0-9A-Za-z.\-]+\s*/\s*([^)]*?)\s*\)', 1) <> ''"
 )
 def parsed_documents(spark: SparkSession, d: str) -> DataFrame:
