@@ -168,7 +168,8 @@ def duration(seconds: Column) -> Column:
 
 
 def percent(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, F.format_string("%.1f%%", 100.0 * part / whole)).otherwise("-")
+    """One decimal, rounded half to even on the exact value of the double, which Java's own formatting is not."""
+    return F.when(whole > 0, F.concat(F.replace(F.format_number(100.0 * part / whole, 1), F.lit(","), F.lit("")), F.lit("%"))).otherwise("-")
 
 
 def wilson(matched: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

@@ -197,3 +197,9 @@ def test_lines_and_changes():
     many = C.changed_words([str(i) for i in range(60)], [str(i) if i % 2 else "x" for i in range(60)])
     assert len(many) == 13 and many[-1] == "..."
     assert C.word_similarity("", "") == 1.0 and C.word_similarity("a b", "b a") == difflib.SequenceMatcher(None, ["a", "b"], ["b", "a"], False).ratio()
+
+
+def test_percentages_round_as_the_exact_double_does(spark):
+    pairs = [(57, 400), (3, 2000), (1, 8), (5000, 1), (1, 3), (0, 5), (1, 0)]
+    df = spark.createDataFrame(pairs, "a int, b int").select(S.percent(F.col("a"), F.col("b")).alias("p"))
+    assert [r.p for r in df.collect()] == [f"{100 * a / b:.1f}%" if b else "-" for a, b in pairs]
