@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataleaf.operators.ordered import with_last_before
+
 
 def remaining(queue: DataFrame, mirrored: DataFrame, key: str) -> DataFrame:
     """ST1, JN6: the work items whose key isn't mirrored; items without a key remain."""
@@ -19,13 +21,11 @@ def appended(queue: DataFrame, found: DataFrame, key: str) -> DataFrame:
 def refreshes(log: DataFrame, url: Column, at: Column, status: Column, digest: Column, ids: list[str]) -> DataFrame:
     """ST2: each fetch of a page as ``first``, ``revalidated`` (304 or the same hash), ``changed`` or ``missing``.
 
-    ``ids`` are columns of the log that come out; the first settles ties in time. A fetch with null hash is missing
+    ``ids`` are columns of the log that come out and, in their order, settle ties in time. A fetch with null hash is missing
     unless its status is 304; it leaves the known hash as it is.
     """
-    over = Window.partitionBy("__url").orderBy("__at", ids[0])
-    known = F.last("__digest", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
     rows = log.select(*ids, url.alias("__url"), at.alias("__at"), status.alias("__status"), digest.alias("__digest")).where("__url IS NOT NULL")
-    rows = rows.withColumn("__known", known)
+    rows = with_last_before(rows, ["__url"], ["__at", *ids], F.col("__digest"), "__known")
     kind = (
         F.when((F.col("__status") == 304) & F.col("__known").isNotNull(), "revalidated")
         .when(F.col("__digest").isNull(), "missing")
@@ -38,9 +38,9 @@ def refreshes(log: DataFrame, url: Column, at: Column, status: Column, digest: C
 
 def too_soon(log: DataFrame, host: Column, at: Column, ids: list[str], delay_s: float = 10.0) -> DataFrame:
     """ST3: fetches that followed the one before them on their host in less than the delay, with the seconds between."""
-    over = Window.partitionBy("__host").orderBy("__at", ids[0])
-    rows = log.select(*ids, host.alias("__host"), F.unix_micros(at.cast("timestamp")).alias("__at"))
-    gap = (F.col("__at") - F.lag("__at").over(over)) / 1e6
+    rows = log.select(*ids, host.alias("__host"), F.unix_micros(at.cast("timestamp")).alias("__at")).where("__at IS NOT NULL")
+    rows = with_last_before(rows, ["__host"], ["__at", *ids], F.col("__at"), "__before")
+    gap = (F.col("__at") - F.col("__before")) / 1e6
     return rows.withColumn("gap_s", gap).where(F.col("gap_s") < delay_s).select(*ids, "gap_s")
 
 

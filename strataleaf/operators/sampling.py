@@ -2,27 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataleaf.session import cut_lineage
-
-
-def ranked(rows: DataFrame, group: list[str], order: list[str], rank: str = "rank", size: str = "size") -> DataFrame:
-    """``rows`` with each row's place in its group, from 0, and the group's size.
-
-    Rows are ranged by group and order, so that a hot group is spread over many tasks; each task numbers its own rows
-    and adds how many of the group stand in the ranges before. ``order`` must settle ties.
-    """
-    placed = cut_lineage(rows.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()))
-    counts = placed.groupBy(*group, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumns({"__before": F.coalesce(F.sum("__n").over(before), F.lit(0)), size: F.sum("__n").over(Window.partitionBy(*group))}).drop("__n")
-    own = Window.partitionBy(*group, "__part").orderBy(*order)
-    numbered = placed.withColumn("__own", F.row_number().over(own) - 1)
-    same = [numbered[c].eqNullSafe(offsets[c]) for c in [*group, "__part"]]
-    kept = [numbered[f"`{c}`"] for c in rows.columns]
-    return numbered.join(offsets, same).select(*kept, (F.col("__own") + F.col("__before")).alias(rank), size)
+from strataleaf.operators.ordered import ranked
 
 
 def evenly(rank: Column, size: Column, wanted: Column) -> Column:

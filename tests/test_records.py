@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from strataleaf.operators import ledger as L
 from strataleaf.operators import match as M
 from strataleaf.operators import metrics as G
+from strataleaf.operators import ordered as O
 from strataleaf.operators import sampling as A
 from strataleaf.operators import temporal as V
 from strataleaf.operators.sections import source_line
@@ -84,6 +85,13 @@ def test_ranks_over_a_hot_group(spark):
     assert got.count() == 3000 and bad.count() == 0 and got.where("g = 'hot' AND size <> 2000").count() == 0
 
 
+def test_carrying_along_a_hot_group(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g"), F.col("id"), F.when(F.col("id") % 700 == 1, F.col("id")).alias("v"))
+    got = O.with_last_before(rows, ["g"], ["id"], F.col("v"), "known")
+    want = F.expr("last(v, true) over (partition by g order by id rows between unbounded preceding and 1 preceding)")
+    assert got.count() == 4000 and got.withColumn("want", want).where("NOT (want <=> known)").count() == 0
+
+
 def test_take_evenly(spark):
     df = spark.createDataFrame([(n, k) for n in (0, 1, 3, 7, 100) for k in (0, 1, 3, 7, 10)], "size int, wanted int")
     ranks = df.select("size", "wanted", F.explode(F.sequence(F.lit(0), F.greatest("size", F.lit(1)) - 1)).alias("rank")).where("size > 0")
