@@ -18,31 +18,44 @@ def as_of(versions: DataFrame, valid_at: Column, known_at: Column, origin: str =
     )
 
 
-def overlaps(versions: DataFrame, key: list[str], id_: str) -> DataFrame:
-    """Pairs of versions of one key that overlap in both periods: ``key..., a, b`` with a before b.
+def _meeting(rows: DataFrame, keys: list[str], id_: str, begin: str, end: str, width_s: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of rows (as structs) of one key of which ``b`` begins while ``a`` lasts, each pair once.
 
-    An equi-join on the key with overlap as the residual condition; adaptive execution splits hot keys.
+    Beginnings fall into buckets of ``width_s`` seconds; a row is placed in every bucket it lasts through, up to the
+    key's last beginning, and meets the beginnings there. So a hot key is split by time, and a history without overlaps
+    is placed about twice. Rows without a beginning meet none; a null end is open.
     """
-    far = F.lit("9999-12-31").cast("timestamp")
-    ends = {c: F.coalesce(c, far) for c in ("valid_to", "known_to")}
-    rows = versions.withColumns(ends).select(*key, F.col(id_).alias("id"), "valid_from", "valid_to", "known_from", "known_to")
-    a, b = rows.alias("a"), rows.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key] + [F.col("a.id") < F.col("b.id")]
-    for kind in ("valid", "known"):
-        on += [F.col(f"a.{kind}_from") < F.col(f"b.{kind}_to"), F.col(f"b.{kind}_from") < F.col(f"a.{kind}_to")]
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
-    return a.join(b, condition).select(*[F.col(f"a.{k}").alias(k) for k in key], F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-
-
-def contested(effects: DataFrame, key: str, id_: str, near_days: int) -> DataFrame:
+    whole = F.struct(*rows.columns)
+    bucket = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / width_s)
+    at = rows.where(F.col(begin).isNotNull()).select(*keys, whole.alias("row"), bucket(F.col(begin)).alias("first"), bucket(F.col(end)).alias("last"))
+    latest = at.groupBy(*keys).agg(F.max("first").alias("latest"))
+    lasting = at.join(latest, keys).where("last IS NULL OR last >= first")
+    a = lasting.select(*keys, F.col("row").alias("a"), F.explode(F.sequence(F.col("first"), F.least(F.col("latest"), F.coalesce("last", "latest")))).alias("bucket"))
+    b = at.select(*keys, F.col("row").alias("b"), F.col("first").alias("bucket"))
+    a_, b_ = F.col("a"), F.col("b")
+    later = (b_[begin] > a_[begin]) | (b_[begin] == a_[begin]) & (b_[id_] > a_[id_])
+    return a.join(b, [*keys, "bucket"]).where(later & (a_[end].isNull() | (b_[begin] < a_[end])))
+
+
+def overlaps(versions: DataFrame, key: list[str], id_: str, width_days: int = 30) -> DataFrame:
+    """Pairs of versions of one key that overlap in both periods: ``key..., a, b`` with a before b; a null end is open."""
+    rows = versions.select(*key, F.col(id_).alias("id"), "valid_from", "valid_to", "known_from", "known_to")
+    pairs = _meeting(rows, key, "id", "valid_from", "valid_to", width_days * 86_400)
+    before = lambda x, y: F.col(f"{y}.known_to").isNull() | (F.col(f"{x}.known_from") < F.col(f"{y}.known_to"))
+    lasts = lambda x: F.col(f"{x}.valid_to").isNull() | (F.col(f"{x}.valid_from") < F.col(f"{x}.valid_to"))
+    both = pairs.where(before("a", "b") & before("b", "a") & lasts("a") & lasts("b"))
+    return both.select(*key, F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+
+
+def contested(effects: DataFrame, key: str, id_: str, near_days: int, width_days: int = 30) -> DataFrame:
     """D3: pairs of effects on one target whose windows overlap or are near, from the same base, with different results."""
-    a, b = effects.alias("a"), effects.alias("b")
+    reach = F.date_add(F.col("ends").cast("date"), near_days + 1).cast("timestamp")
+    rows = effects.select(key, F.col(id_).alias("id"), "base", "begins", "ends", "result", reach.alias("reach"))
+    pairs = _meeting(rows, [key, "base"], "id", "begins", "reach", width_days * 86_400)
     begins, ends = F.greatest("a.begins", "b.begins"), F.least("a.ends", "b.ends")
     near = (begins < ends) | (F.datediff(begins, ends) <= near_days)
-    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{id_}") < F.col(f"b.{id_}")) & (F.col("a.base") == F.col("b.base"))
-    return a.join(b, on & near & (F.col("a.result") != F.col("b.result"))).select(F.col(f"a.{key}").alias(key), F.col(f"a.{id_}").alias("a"), F.col(f"b.{id_}").alias("b"))
+    met = pairs.where(near & (F.col("a.result") != F.col("b.result")))
+    return met.select(key, F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
 
 
 def typed_operation(op_marker: Column, renumbered: Column, part: Column) -> Column:

@@ -229,3 +229,24 @@ def test_temporal(spark):
     assert [r[0] for r in ops.select(V.typed_operation(F.col("m"), F.col("r"), F.col("p"))).collect()] == ["add", "repeal", "renumber", "text_replace", "replace"]
     f = spark.createDataFrame([("p", 1, "s1", ["a", "b"]), ("p", 2, "s2", ["a", "c", ""])], "k string, ver int, src string, cl array<string>")
     assert sorted((r.since, r.source) for r in V.first_appearances(f, ["k"], "ver", F.col("cl"), "src").collect()) == [(1, "s1"), (1, "s1"), (2, "s2")]
+
+
+def test_overlaps_of_a_hot_key_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(6)
+    d = lambda n: T0 + timedelta(days=n)
+    rows = []
+    for i in range(400):
+        a, b = rng.randrange(400), rng.randrange(400)
+        rows.append((i, "hot" if i % 2 else f"k{i % 7}", d(a), None if rng.random() < 0.05 else d(a + rng.randrange(20)), d(b), None if rng.random() < 0.2 else d(b + rng.randrange(60)), "o"))
+    v = spark.createDataFrame(rows, "id int, provision string, valid_from timestamp, valid_to timestamp, known_from timestamp, known_to timestamp, origin string")
+    far = datetime(9999, 1, 1)
+    want = {
+        (x[0], y[0])
+        for x in rows
+        for y in rows
+        if x[0] < y[0] and x[1] == y[1] and x[2] < (y[3] or far) and y[2] < (x[3] or far) and x[2] != x[3] and y[2] != y[3] and x[4] < (y[5] or far) and y[4] < (x[5] or far)
+    }
+    got = [(r.a, r.b) for r in V.overlaps(v, ["provision"], "id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
