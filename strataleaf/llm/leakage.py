@@ -27,6 +27,8 @@ RANK, ITEM_WEIGHT = 192, 0.3
 COSINE = 0.35
 #: Items that are sought in one pass over the corpus; more items take more passes.
 ITEMS_AT_ONCE = 2000
+#: Passages that are multiplied at once: few enough for their rows to stay in the processor's cache.
+BLOCK = 200
 #: The length of one place in the document, as a multiple of the item's words.
 PLACE = 1.4
 _WORD = re.compile(r"\w+")
@@ -70,8 +72,16 @@ class Items:
 
     def passages(self, w: list[str]) -> list[tuple[int, np.ndarray]]:
         """(place of its first word, columns) of each passage that has any."""
-        out = [(a, self.columns(w[a : a + PASSAGE])) for a in range(0, max(1, len(w) - STRIDE), STRIDE)]
-        return [x for x in out if len(x[1])]
+        get = self.column.get
+        ones = [get(x) for x in w]
+        # a pair of words is only looked up where both are words of items
+        pairs = [None if i is None or j is None else get(x + " " + y) for i, j, x, y in zip(ones, ones[1:], w, w[1:])]
+        out = []
+        for a in range(0, max(1, len(w) - STRIDE), STRIDE):
+            own = {*ones[a : a + PASSAGE], *pairs[a : a + PASSAGE - 1]} - {None}
+            if own:
+                out.append((a, np.fromiter(own, "int64")))
+        return out
 
 
 class Rows:
@@ -97,7 +107,7 @@ class Rows:
         into[column[first]] += np.add.reduceat(dense[self.row[order]] * self.value[order, None], first)
 
 
-def _blocks(batches: Iterator[pd.DataFrame], items: Items, size: int = 2000) -> Iterator[list[np.ndarray]]:
+def _blocks(batches: Iterator[pd.DataFrame], items: Items, size: int = BLOCK) -> Iterator[list[np.ndarray]]:
     block: list[np.ndarray] = []
     for batch in batches:
         for text in batch["text"]:
@@ -247,8 +257,8 @@ def _search(texts: DataFrame, items: Items, kinds: str, least: float) -> DataFra
                 if not columns:
                     continue
                 near: dict[tuple[int, int], tuple[int, int]] = {}
-                for at in range(0, len(columns), 2000):
-                    own = Rows(columns[at : at + 2000], idf).times(basis)
+                for at in range(0, len(columns), BLOCK):
+                    own = Rows(columns[at : at + BLOCK], idf).times(basis)
                     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
                     for p, q in zip(*np.nonzero(own @ queries.T >= COSINE)):
                         key, a = (owner[at + p], kept[q]), starts[at + p]
