@@ -69,3 +69,12 @@ def stop_reason(done: Column, total: Column, elapsed_s: Column, limit_s: Column,
 def body_of(legacy: Column, stored: Column, status: Column, digest: Column) -> Column:
     """SRC2, ST9: the body of a mirrored page: the legacy copy, else the stored object, else empty for a 404 without one."""
     return F.coalesce(legacy, stored, F.when((status == 404) & digest.isNull(), F.lit("")))
+
+
+def fetch_outcome(status: Column, retry_after: Column, body: Column) -> Column:
+    """ST4, ST5: what a fetch's answer asks for: ``throttled`` (stop), ``store``, ``unchanged``, ``empty`` (404) or ``retry``."""
+    from strataleaf.functions.scalars import is_throttling
+
+    return (
+        F.when(is_throttling(status, retry_after, body), "throttled").when(status == 200, "store").when(status == 304, "unchanged").when(status == 404, "empty").otherwise("retry")
+    )

@@ -410,6 +410,41 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
     return open_.select("case_idx", "citation", "similarity", F.substring(F.regexp_replace("source_line", f"{PY_WS}++", " "), 1, 70).alias("source_line")).orderBy(F.desc("similarity"), "case_idx")
 
 
+_TIERS = R.oracles["tier_breakdown"]
+
+
+@R.query(
+    f"WITH t AS ({_TIERS}), a AS (SELECT tier, done, total FROM t UNION ALL SELECT NULL, sum(done)::BIGINT, sum(total)::BIGINT FROM t)"
+    " SELECT row_number() OVER (ORDER BY tier NULLS LAST) AS line_no, '| ' || coalesce(tier::VARCHAR, 'all') || ' | ' || done || ' | ' || total || ' | ' || CASE WHEN total > 0 THEN printf('%.1f%%', 100.0::DOUBLE * done / total) ELSE '-' END || ' |' AS line FROM a"
+)
+def status_report(spark: SparkSession, d: str) -> DataFrame:
+    """SNK4, ST9: the mirror's state from what is stored, without a run."""
+    return store.status_lines(tier_breakdown(spark, d))
+
+
+@R.query(f"SELECT case_idx, citation, classification FROM {CASES} ORDER BY run_no, case_idx LIMIT 25")
+def limited_selection(spark: SparkSession, d: str) -> DataFrame:
+    """2.10: the first 25 cases in order, as a run with a limit takes them."""
+    return cases(spark, d).orderBy("run_no", "case_idx").limit(25).select("case_idx", "citation", "classification")
+
+
+@R.query(
+    "SELECT CASE WHEN coalesce(status IN (429, 503, 509), false) OR coalesce(status = 403 AND regexp_matches(substr(body, 1, 4096), '(?i)rate[ -]?limit|too many requests|slow down|temporarily blocked|access denied'), false) THEN 'throttled'"
+    " WHEN status = 200 THEN 'store' WHEN status = 304 THEN 'unchanged' WHEN status = 404 THEN 'empty' ELSE 'retry' END AS outcome, status, count(*) AS n FROM responses GROUP BY ALL"
+)
+def fetch_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """ST4, ST5: what the answers ask for, by status."""
+    outcome = L.fetch_outcome(F.col("status"), F.lit(None).cast("string"), F.col("body"))
+    return table(spark, d, "responses").groupBy(outcome.alias("outcome"), "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.query("SELECT 'us-il' AS jurisdiction, citation.chapter AS chapter, citation.act AS act, citation.section AS section, min(snapshot_no) AS since, count(DISTINCT ver) AS versions FROM blocks GROUP BY ALL")
+def provisions(spark: SparkSession, d: str) -> DataFrame:
+    """D20 and the designed table of provisions: each with its jurisdiction and the snapshot in which it first stood."""
+    rows = table(spark, d, "blocks").groupBy("citation.chapter", "citation.act", "citation.section")
+    return rows.agg(F.min("snapshot_no").alias("since"), F.count_distinct("ver").alias("versions")).withColumn("jurisdiction", F.lit("us-il"))
+
+
 # --- versions in time -----------------------------------------------------------------------------------------------------
 
 _VERSIONS = (

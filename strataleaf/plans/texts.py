@@ -107,7 +107,7 @@ def comparisons_made(spark: SparkSession, d: str) -> DataFrame:
 def sentences(spark: SparkSession, d: str) -> DataFrame:
     """CP3: texts cut into sentences, without breaking citations."""
     parts = C.sentence_parts(F.col("published_norm"))
-    return table(spark, d, "comparisons").select("comparison_id", F.size(parts).alias("parts"), F.md5(F.array_join(parts, "|")).alias("digest"))
+    return table(spark, d, "comparisons").select("comparison_id", F.size(parts).cast("long").alias("parts"), F.md5(F.array_join(parts, "|")).alias("digest"))
 
 
 _PA = r"[0-9]{2,3}-[0-9]{1,4}"

@@ -35,7 +35,7 @@ def acts(pages: DataFrame, order: Column, page: Column) -> DataFrame:
 def blocks_with_fallback(pages: DataFrame, act: Column, doc_id: str, text: Column, primary: Column) -> DataFrame:
     """SRC5: the section blocks of each Act from its primary pages, or from the others if those have none.
 
-    Headings are no blocks. Both kinds of page are parsed once; a count for each Act decides.
+    Headings are no blocks. Whether an Act's primary pages have any is found by an aggregate and joined back.
     """
     keyed = pages.select(act.alias("act_key"), F.col(doc_id).alias("doc_id"), text.alias("text"), primary.alias("primary")).where("act_key IS NOT NULL")
     parsed = parse_blocks(keyed, "doc_id", F.col("text")).where(~F.lower("citation.section").contains("heading"))

@@ -65,4 +65,13 @@ def markdown_table(rows: DataFrame, columns: list[str], order: list[Column]) ->
 
     cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("-")) for c in columns]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-    return rows.select(F.row_number().over(Window.orderBy(*order)).alias("line_no"), line.alias("line"))
+    return rows.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("line_no"), line.alias("line"))
+
+
+def status_lines(tiers: DataFrame) -> DataFrame:
+    """SNK4: the mirror's state as lines of Markdown, made whole from one breakdown ``tier, done, total``."""
+    from strataleaf.functions.scalars import percent
+
+    rows = tiers.unionByName(tiers.agg(F.lit(None).cast("int").alias("tier"), F.coalesce(F.sum("done"), F.lit(0)).alias("done"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")))
+    named = rows.withColumn("name", F.coalesce(F.col("tier").cast("string"), F.lit("all"))).withColumn("part", percent(F.col("done"), F.col("total")))
+    return markdown_table(named, ["name", "done", "total", "part"], [F.asc_nulls_last("tier")])
