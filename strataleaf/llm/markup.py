@@ -121,7 +121,7 @@ class Tree:
         known = looks()
         self.parent, self.look, self.signs = [-1], [known["page"]], []
         trailer = [m.start() + 1 for m in _TRAILER.finditer(text)]
-        line, line_end, open_elements = 0, -1, []
+        line, line_end, open_elements, lower, closed = 0, -1, [], "", {}
         for m in signs_in("\n" + text):
             kind, start, end = m.lastgroup if m.lastgroup != "eq" else "wikihead", m.start(), m.end()
             content = m.group()
@@ -142,7 +142,11 @@ class Tree:
                 name = re.match(r"</?([A-Za-z0-9]+)", content).group(1).lower()
                 if content[1] != "/":
                     if name not in VOID and len(open_elements) < 12:
-                        open_elements.append((name, node))
+                        if name not in closed:
+                            lower = lower or text.lower()
+                            closed[name] = lower.rfind("</" + name)
+                        if closed[name] >= end - 1:  # an element that is never closed holds nothing
+                            open_elements.append((name, node))
                 elif name in (n for n, _ in open_elements):
                     while open_elements.pop()[0] != name:
                         pass
