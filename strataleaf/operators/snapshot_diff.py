@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 MOST_LITERALS = 1000
 
 
-def _with_next(rows: DataFrame, seq: str) -> DataFrame:
-    """``rows`` with ``next``, the delivered number after ``seq``, and ``first``, whether ``seq`` is the first one."""
-    numbers = rows.select(seq).distinct()
+def _with_next(rows: DataFrame, seq: str, numbers: DataFrame) -> DataFrame:
+    """``rows`` with ``next``, the number after ``seq`` among those delivered, and ``first``, whether it is the first."""
     known = sorted(r[0] for r in numbers.limit(MOST_LITERALS + 1).collect())
     if 1 < len(known) <= MOST_LITERALS:
         follows = F.create_map(*[F.lit(n) for pair in zip(known, known[1:]) for n in pair])
@@ -34,7 +33,8 @@ def snapshot_changes(
     hold; what is left classifies the record and names the changed fields.
 
     :param key: the record's key; rows with a null key are no records.
-    :param seq: the snapshot's number; numbers that do not occur were not delivered. Rows without one are left out.
+    :param seq: the snapshot's number; numbers that do not occur were not delivered, and one whose rows have no key was
+        delivered empty. Rows without a number are left out.
     :param fields: the compared values, null being a value like any other.
     :param order: of several rows of one key in a snapshot the one that is last by these columns counts (null is
         earliest); put a unique id last to settle ties.
@@ -57,7 +57,8 @@ def snapshot_changes(
         .agg(F.max("row").alias("row"))
         .select("key", "seq", *[F.col(f"row.f{i}").alias(f"f{i}") for i in range(len(names))])
     )
-    placed = _with_next(current, "seq").repartition("key")
+    delivered = snapshots.select(seq.alias("seq")).where("seq IS NOT NULL").distinct()
+    placed = _with_next(current, "seq", delivered).repartition("key")
     cells = F.array(
         F.struct(F.lit(-1).alias("field"), F.lit(None).cast("string").alias("value")),
         *[F.struct(F.lit(i).alias("field"), F.col(f"f{i}").alias("value")) for i in range(len(names))],
