@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataleaf.functions import scalars as S
 from strataleaf.functions.normalize import normalize
 from strataleaf.operators.compare import compared, similarity
+from strataleaf.session import written
 
 # The labels of cases. FETCH_ERROR is apart from ACT_NOT_ONLINE: not having looked is not having found nothing.
 EXCLUDED = ("UNRECONSTRUCTABLE", "ACT_NOT_ONLINE", "FETCH_ERROR")
@@ -83,18 +84,22 @@ def best_candidates(sections: DataFrame, act_blocks: DataFrame) -> DataFrame:
     blocks = act_blocks.where(~F.col("op_marker").eqNullSafe("rep."))
     entry = F.struct(F.col("b.pos").alias("pos"), F.col("b.body").alias("body"), F.col("b.pre_body").alias("pre_body"), F.col("b.version_marker").alias("version_marker"))
     on = (F.col("s.pa_key") == F.col("b.pa_key")) & (F.col("s.citation") == F.col("b.citation"))
-    joined = sections.alias("s").join(blocks.alias("b"), on).select(
+    pairs = sections.alias("s").join(blocks.alias("b"), on).select(
         F.col("s.case_idx").alias("case_idx"),
         F.col("s.body").alias("body"),
         F.col("s.candidates_in_act").alias("n"),
         F.coalesce(F.col("s.version_marker") == F.col("b.version_marker"), F.lit(False)).alias("same_marker"),
         entry.alias("entry"),
     )
+    joined = written(pairs)  # read thrice below; the join and its shuffles run once
     marked = joined.groupBy("case_idx").agg(F.min_by("entry", F.when(F.col("same_marker"), F.col("entry.pos"))).alias("marked"), F.max("n").alias("n"), F.bool_or("same_marker").alias("any_marked"))
     single = joined.where("n = 1").select("case_idx", F.col("entry").alias("chosen"))
     by_marker = marked.where("n > 1 AND any_marked").select("case_idx", F.col("marked").alias("chosen"))
     rest = joined.where("n > 1").join(marked.where("any_marked").select("case_idx"), "case_idx", "left_anti")
-    scored = rest.withColumn("score", similarity(normalize(F.col("body")), normalize(F.col("entry.body"))))
+    # of candidates with one text only the first can win, so that only different texts are scored, and none equal to the section's
+    norms = rest.select("case_idx", "entry", normalize(F.col("body")).alias("a"), normalize(F.col("entry.body")).alias("b"))
+    texts = norms.groupBy("case_idx", "a", "b").agg(F.min_by("entry", "entry.pos").alias("entry"))
+    scored = texts.withColumn("score", F.when(F.col("a") == F.col("b"), 1.0).otherwise(similarity(F.when(F.col("a") != F.col("b"), F.col("a")), F.col("b"))))
     by_score = scored.groupBy("case_idx").agg(F.max_by("entry", F.struct(F.col("score"), -F.col("entry.pos"))).alias("chosen"))
     return single.unionByName(by_marker).unionByName(by_score)
 
