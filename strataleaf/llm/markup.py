@@ -296,6 +296,7 @@ def read_signs(texts: list[str | None]) -> list[list[tuple[int, int, str, str]]]
 
 
 _NAME = re.compile(r"</?([A-Za-z0-9]+)")
+_ESCAPED = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?/?>")
 _BREAKS = frozenset("p div br tr table ul ol dl center blockquote hr body html pre section article".split())
 
 
@@ -304,7 +305,7 @@ class _Parts:
 
     def __init__(self) -> None:
         self.done: list[tuple[str, str]] = []
-        self.kind, self.buffer, self.hidden = "text", [], 0
+        self.kind, self.buffer, self.hidden, self.escaped = "text", [], 0, False
 
     def put(self, text: str) -> None:
         if not self.hidden:
@@ -312,13 +313,15 @@ class _Parts:
 
     def close(self, kind: str = "text") -> None:
         text = "".join(self.buffer)
+        if self.escaped:  # elements and references that were written in references
+            text = _ESCAPED.sub(lambda m: "" if m[1].lower() in ELEMENTS else m[0], html.unescape(text))
         if self.kind == "code":
             text = text.strip("\n")
         else:
             text = "\n".join(" ".join(x.split()) for x in re.split(r"\n\s*\n", text.strip()) if x.strip())
         if text.strip(" |"):
             self.done.append((self.kind, text.strip(" |") if self.kind == "row" else text))
-        self.kind, self.buffer = kind, []
+        self.kind, self.buffer, self.escaped = kind, [], False
 
 
 def parts_of(text: str, signs: list[tuple[int, int, str, str]]) -> list[tuple[str, str]]:
@@ -353,7 +356,8 @@ def parts_of(text: str, signs: list[tuple[int, int, str, str]]) -> list[tuple[st
             elif name in _BREAKS:
                 out.close()
         elif sign == "entity":
-            out.put(html.unescape(html.unescape(content)))
+            out.put(html.unescape(content))
+            out.escaped = True
         elif sign in ("comment", "opentag", "template", "tie", "magic", "rule"):
             if sign == "rule":  # underlines the line before it
                 own = "".join(out.buffer)
@@ -364,13 +368,9 @@ def parts_of(text: str, signs: list[tuple[int, int, str, str]]) -> list[tuple[st
                     out.put(head[2])
                 out.close()
         elif sign in ("math", "dollars"):
-            inner = content.strip("$") if content[0] == "$" else content[2:-2]
-            if sign == "math":
-                out.close("formula")
-                out.put(inner)
-                out.close()
-            else:
-                out.put(inner)
+            out.close("formula")
+            out.put(content.strip("$") if content[0] == "$" else content[2:-2])
+            out.close()
         elif sign in ("bold", "emphasis", "code", "quotes", "struck"):
             out.put("" if sign == "struck" else content.strip("*_`'"))
         elif sign == "fence":

@@ -31,11 +31,16 @@ def test_parts_keep_structure():
     md = "# Head\n\ntext **bold** and `code`\n\n- one\n- two\n\n```\nraw *x*\n```\n\n| a | b |\n|---|--:|\n| 1 | 2 |\n\nHead two\n====\n\nend"
     assert M.parts_of(md, M.read_signs([md])[0]) == [("heading", "Head"), ("text", "text bold and code"), ("item", "one"), ("item", "two"), ("code", "raw *x*"), ("row", "a | b"), ("row", "1 | 2"), ("heading", "Head two"), ("text", "end")]
     tex = "\\section{Head}\nA \\textbf{b}.~\\ref{x}\n\\begin{itemize}\n\\item one\n\\item two\n\\end{itemize}\n\\[ F = \\sum_i r_i \\]\nend $x_{1}$"
-    assert M.parts_of(tex, M.read_signs([tex])[0]) == [("heading", "Head"), ("text", "A b."), ("item", "one"), ("item", "two"), ("formula", "F = \\sum_i r_i"), ("text", "end x_{1}")]
+    assert M.parts_of(tex, M.read_signs([tex])[0]) == [("heading", "Head"), ("text", "A b."), ("item", "one"), ("item", "two"), ("formula", "F = \\sum_i r_i"), ("text", "end"), ("formula", "x_{1}")]
     wiki = "== Head ==\nthe '''b''' [[A rules|a]] [https://a.example text] {{cn}}\n[[Category:X]]\n{| class=\"g\"\n! a !! b\n|-\n| 1 || 2\n|}"
     assert M.parts_of(wiki, M.read_signs([wiki])[0]) == [("heading", "Head"), ("text", "the b a text"), ("row", "a | b"), ("row", "1 | 2")]
 
 
+def test_escaped_leftovers_go_too():
+    for odd, plain in [("Step &lt;strike&gt;follows&lt;/strike&gt; it", "Step follows it"), ("a &amp;nbsp;b", "a b"), ("x &sect;&#160;4", "x § 4"), ("if a &lt; b &amp; c", "if a < b & c")]:
+        assert M.parts_of(odd, M.read_signs([odd])[0]) == [("text", plain)]
+
+
 def test_held_out_accuracy_of_labelled_pages():
     pages = list(M.labelled_pages(300, seed=99))
     found = M.read_signs([t for t, _, _ in pages])
