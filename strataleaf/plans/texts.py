@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from strataleaf.functions import normalize as N
 from strataleaf.functions import scalars as S
 from strataleaf.functions.whitespace import DUCK_WS as WS
-from strataleaf.functions.whitespace import collapse
 from strataleaf.operators import compare as C
 from strataleaf.operators import extract as X
 from strataleaf.operators import sections as P
@@ -314,5 +313,3 @@ def durations(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("event_id") * 37 % 90000
     return table(spark, d, "events").select("event_id", S.duration(s).alias("took"), S.percent(F.floor(s / 7).cast("double"), s).alias("part"))
 
-
-_ = collapse
