@@ -61,8 +61,13 @@ def citation_text(citation: Column) -> Column:
     return F.format_string("%s ILCS %s/%s", citation["chapter"], citation["act"], citation["section"])
 
 
+def in_utc(at: Column) -> Column:
+    """The wall-clock time in UTC, whatever the session's time zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp").cast("timestamp_ntz"))
+
+
 def stable_uri(chapter: Column, act: Column, section: Column, at: Column) -> Column:
-    return F.concat(F.lit("/us-il/act/"), chapter, F.lit("/"), act, F.lit("/"), section, F.lit("@"), F.date_format(at, "yyyy-MM-dd"))
+    return F.concat(F.lit("/us-il/act/"), chapter, F.lit("/"), act, F.lit("/"), section, F.lit("@"), F.date_format(in_utc(at), "yyyy-MM-dd"))
 
 
 def only_alphanumeric(text: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataleaf.functions.scalars import in_utc
+
 MATCHES = ("simple", "partial", "full")
 
 
@@ -95,10 +97,10 @@ def orphan_references(
 
 
 def orphan_counts(orphans: DataFrame, table: Column, at: Column) -> DataFrame:
-    """``ref_table, month, orphan_kind, n``: orphans per table, month and kind; a null time gives a null month."""
+    """``ref_table, month, orphan_kind, n``: orphans per table, month in UTC and kind; a null time gives a null month."""
     return (
         orphans.groupBy(
-            table.alias("ref_table"), F.date_format(F.date_trunc("month", at), "yyyy-MM").alias("month"), "orphan_kind"
+            table.alias("ref_table"), F.date_format(in_utc(at), "yyyy-MM").alias("month"), "orphan_kind"
         )
         .agg(F.count(F.lit(1)).alias("n"))
     )

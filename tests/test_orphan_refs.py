@@ -65,3 +65,13 @@ def test_act_numbers(spark):
     assert {(r.n.assembly, r.n.serial) for r in df.collect()} == {("90", "131")}
     odd = spark.createDataFrame([(None,), ("",), ("  ",), ("see note",)], "t string").select("t", act_number(F.col("t")).alias("n")).collect()
     assert [r.n for r in odd[:3]] == [None] * 3 and (odd[3].n.assembly, odd[3].n.serial) == (None, "see note")
+
+
+def test_months_do_not_follow_the_session(spark):
+    rows = spark.sql("SELECT 't' AS t, timestamp_seconds(1925020800) AS at, 'late' AS orphan_kind")  # 2031-01-01 in UTC
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Chicago")
+        assert orphan_counts(rows, F.col("t"), F.col("at")).first().month == "2031-01"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
