@@ -151,6 +151,11 @@ def single_hop(sections: DataFrame, acts: DataFrame, act_blocks: DataFrame) -> D
 
 
 def latest_rows(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by ``order``: a ``max`` of structs, which combines before the shuffle."""
-    entry = F.struct(*order, F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"))
-    return rows.groupBy(*key).agg(F.max(entry).alias("__m")).select("__m.__row.*")
+    """The last row of each key by ``order``, which must settle ties.
+
+    One aggregate for each column, so that columns that are not used later are neither read nor shuffled; they combine
+    before the shuffle, so that a hot key is one row for each task.
+    """
+    last = F.struct(*order)
+    kept = [F.max_by(F.col(f"`{c}`"), last).alias(c) for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(*kept).select(*[F.col(f"`{c}`") for c in rows.columns])
