@@ -206,12 +206,9 @@ def alignment_end(text: str, other: str) -> int | None:
     return end
 
 
-def near_copy_pairs(texts: DataFrame) -> DataFrame:
-    """``mark, other``: candidate pairs of different texts, of a table ``mark, text`` with one row for each text.
+def in_shared_buckets(texts: DataFrame) -> DataFrame:
+    """``mark, size, bucket, start``: the bands of a table ``mark, text`` whose buckets hold two texts or more.
 
-    In each bucket of a band every text is paired with the bucket's longest one, and with the longest of those that
-    begin with the same words. So a bucket of any size makes at most twice as many pairs as it has texts; the longest
-    ones are aggregates, which combine before the shuffle, and a hot bucket's join is split by adaptive execution.
     The min-hashes are worked out once and written; of buckets with one text only the key is shuffled.
     """
 
@@ -228,7 +225,15 @@ def near_copy_pairs(texts: DataFrame) -> DataFrame:
     hashed = written(texts.mapInPandas(banded, "mark binary, size int, bucket bigint, start bigint"))
     # written, so that its size is known when the join is planned: small it is sent to all tasks, else sorted and merged
     shared = written(hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
-    crowded = hashed.join(shared, "bucket", "left_semi")
+    return hashed.join(shared, "bucket", "left_semi")
+
+
+def hub_pairs(crowded: DataFrame) -> DataFrame:
+    """``mark, other``: in each bucket every text with the longest one, and with the longest that begins like it.
+
+    At most twice as many pairs as a bucket has texts; the longest ones are aggregates, which combine before the shuffle.
+    These pairs alone don't find all: the hub of a group of forms need not go on like each text that was cut.
+    """
     entry = F.struct(F.col("size"), F.col("mark"))
     near = crowded.groupBy("bucket", "start").agg(F.max(entry).alias("near"))
     hubs = near.join(near.groupBy("bucket").agg(F.max("near").alias("hub")), "bucket")
@@ -240,6 +245,71 @@ def near_copy_pairs(texts: DataFrame) -> DataFrame:
     )
 
 
+#: Characters of a last, perhaps cut, word that are part of its key, and flags of the words before it that are sought.
+_HEAD, _FLAGS = 3, 1 << 20
+
+
+def _follow_key(before: str, word: str) -> int:
+    return hash_of(before + "\0" + word[:_HEAD]) - (1 << 63)
+
+
+def continuing_pairs(texts: DataFrame, crowded: DataFrame, asking: DataFrame) -> DataFrame:
+    """``mark, other``: each text of ``asking`` with all texts of its buckets that may go on after its last words.
+
+    Wherever an alignment ends within or after a text's last word, with the word before it matched too, the other text
+    has that word before one that begins like the last, and more after it. All such texts of a bucket are paired, by a
+    join over (bucket, both words), so that of a group of forms of any size only those meet that can go on alike.
+
+    Scale: of the words sought a table of ``_FLAGS`` flags is sent, so that others are not shuffled.
+    """
+
+    def closing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for mark, text in zip(batch["mark"], batch["text"]):
+                words = text.rstrip().rstrip("�").split()
+                if len(words) > 1:
+                    rows.append((mark, _follow_key(*words[-2:]), words[-1], crc32(words[-2].encode("utf-8", "replace")) % _FLAGS))
+            yield pd.DataFrame(rows, columns=["mark", "key", "part", "flag"])
+
+    asked = written(asking.select("mark", "text").mapInPandas(closing, "mark binary, key bigint, part string, flag int"))
+    flags = np.zeros(_FLAGS, bool)
+    flags[asked.select("flag").distinct().toPandas()["flag"].to_numpy("int64")] = True  # at most _FLAGS rows
+    sought = texts.sparkSession.sparkContext.broadcast(flags)
+
+    def followed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flags = sought.value
+        for batch in batches:
+            rows = []
+            for mark, text in zip(batch["mark"], batch["text"]):
+                words = text.split()
+                found = set()
+                for i, (before, word) in enumerate(zip(words, words[1:])):
+                    if flags[crc32(before.encode("utf-8", "replace")) % _FLAGS]:
+                        found.add((before, word if i + 2 < len(words) else word[:-1]))  # after the last word nothing goes on
+                keys = {(_follow_key(before, word[:n]), word) for before, word in found for n in range(1, min(_HEAD, len(word)) + 1)}
+                rows += ((mark, key, word) for key, word in keys)
+            yield pd.DataFrame(rows, columns=["other", "key", "word"])
+
+    places = crowded.select("mark", "bucket").join(asked.drop("flag"), "mark")
+    near = crowded.join(places.select("bucket").distinct(), "bucket", "left_semi").select(F.col("mark").alias("other"), "bucket")
+    words = texts.join(near.select(F.col("other").alias("mark")).distinct(), "mark", "left_semi").select("mark", "text")
+    follows = words.mapInPandas(followed, "other binary, key bigint, word string").join(asked.select("key").distinct(), "key", "left_semi")
+    return (
+        places.join(near.join(follows, "other"), ["bucket", "key"])
+        .where("mark <> other AND startswith(word, part)")
+        .select("mark", "other")
+        .distinct()
+    )
+
+
+def near_copy_pairs(texts: DataFrame) -> DataFrame:
+    """``mark, other``: candidate pairs of different texts, of a table ``mark, text`` with one row for each text: the
+    hubs of each bucket, and all texts of one bucket of which one may go on where the other ends."""
+    crowded = in_shared_buckets(texts)
+    return hub_pairs(crowded).unionByName(continuing_pairs(texts, crowded, texts)).distinct()
+
+
 def _mark(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
@@ -251,19 +321,19 @@ def distinct_texts(documents: DataFrame) -> DataFrame:
 
 
 def cut_by_copies(texts: DataFrame, closings: Closings) -> DataFrame:
-    """``mark``: the texts, of a table ``mark, text``, of which a verified near-copy goes on after their end."""
-    pairs = near_copy_pairs(texts)
-    both = (
-        pairs.join(texts, "mark")
-        .withColumnRenamed("text", "own")
-        .join(texts.select(F.col("mark").alias("other"), F.col("text").alias("whole")), "other")
-        .where("length(own) < length(whole)")
-        .select("mark", "own", "whole")
-    )
+    """``mark``: the texts, of a table ``mark, text``, of which a verified near-copy goes on after their end, though their
+    closing words are not open.
+
+    First against the hubs of their buckets, which settle most texts of a large group; then those left over against every
+    text of their buckets that may go on after their last words.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(closings)
 
+    def unsettled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[t.rstrip()[-1:].isalnum() and not ends_open(t, shared.value) for t in batch["text"]]]
+
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        closings = shared.value
         for batch in batches:
             found = []
             for mark, own, whole in zip(batch["mark"], batch["own"], batch["whole"]):
@@ -274,12 +344,25 @@ def cut_by_copies(texts: DataFrame, closings: Closings) -> DataFrame:
                 end = alignment_end(own, whole)
                 if end is None or not whole[end:].strip():
                     continue
-                within = own.rstrip()[-1:].isalnum() and whole[end].isalnum()
-                if within or ends_open(own, closings):
+                if whole[end].isalnum():  # within a word
                     found.append(mark)
             yield pd.DataFrame({"mark": pd.Series(found, dtype="object")})
 
-    return both.mapInPandas(aligned, "mark binary").distinct()
+    def verified(pairs: DataFrame, asking: DataFrame) -> DataFrame:
+        both = (
+            pairs.join(asking.withColumnRenamed("text", "own"), "mark")
+            .join(texts.select(F.col("mark").alias("other"), F.col("text").alias("whole")), "other")
+            .where("length(own) < length(whole)")
+            .select("mark", "own", "whole")
+        )
+        return written(both.mapInPandas(aligned, "mark binary").distinct())
+
+    crowded = in_shared_buckets(texts)
+    in_company = texts.select("mark", "text").join(crowded.select("mark").distinct(), "mark", "left_semi")
+    asking = written(in_company.mapInPandas(unsettled, "mark binary, text string"))
+    by_hubs = verified(hub_pairs(crowded), asking)
+    rest = asking.join(by_hubs, "mark", "left_anti")
+    return by_hubs.unionByName(verified(continuing_pairs(texts, crowded, rest), rest))
 
 
 def truncated(documents: DataFrame, ids: list[str], text: Column) -> DataFrame:
@@ -291,7 +374,8 @@ def truncated(documents: DataFrame, ids: list[str], text: Column) -> DataFrame:
 
     Closing words are counted over different texts, so that copies of one text can't make its last line an ending.
 
-    Scale: copies of a text are reduced to one, in a table written once; buckets give linearly many pairs.
+    Scale: copies of a text are reduced to one, in a table written once; of a bucket's texts only those are paired that may
+    go on alike.
     """
     wanted = documents.select(*[F.col(f"`{c}`").alias(f"id{i}") for i, c in enumerate(ids)], text.alias("text"))
     texts = written(distinct_texts(wanted))

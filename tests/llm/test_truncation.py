@@ -73,3 +73,37 @@ def test_odd_rows_and_hot_copies(spark):
     assert len(out) == len(rows) and {r.id for r in out if r.cut} == {*range(50), 103}
     empty = spark.createDataFrame([], "id int, text string")
     assert T.truncated(empty, ["id"], F.col("text")).count() == 0
+
+
+def forms(rng, n, cut):
+    """Texts of one template that differ in a last number, and some cut within theirs: ``{id: text}``, cut ones from 1000."""
+    body = prose(rng, 25)
+    numbers = rng.sample(range(10_000_000, 99_999_999), n)
+    whole = {i: f"{body}\nTotal           {number}" for i, number in enumerate(numbers)}
+    return whole | {1000 + i: whole[i][:-3] for i in range(cut)}
+
+
+def test_cut_texts_of_a_large_group_of_forms_against_brute_force(spark):
+    texts = forms(random.Random(3), 400, 80)
+    want = {i for i, a in texts.items() if any(len(b) > len(a) and b.startswith(a) and b[len(a)].isalnum() for b in texts.values())}
+    assert want == set(range(1000, 1080))
+    df = spark.createDataFrame(list(texts.items()), "id int, text string")
+    assert {r.id for r in T.truncated(df, ["id"], F.col("text")).where("cut").collect()} == want
+
+
+def test_pairs_of_a_large_group_of_forms_against_brute_force(spark):
+    rng = random.Random(4)
+    head, tail = prose(rng, 12), prose(rng, 12)
+    whole = [f"{head} {tail} The holder {' '.join(rng.choice(WORDS) + str(rng.randint(100, 999)) for _ in range(4))} files." for _ in range(150)]
+    # cut within the last of the words that differ, with a word changed before
+    cut = [t[: t.rindex(" files") - 2].replace(head.split()[40], "changed", 1) for t in whole[:40]]
+    df = spark.createDataFrame([(str(i).encode(), t) for i, t in enumerate(whole + cut)], "mark binary, text string")
+    got = {(bytes(r.mark), bytes(r.other)) for r in T.near_copy_pairs(df).collect()}
+    sets = [set(T.shingles(t).tolist()) for t in whole + cut]
+    want = set()
+    for i in range(150, 190):
+        for j in range(150):
+            end = T.alignment_end(cut[i - 150], whole[j])
+            if len(sets[i] & sets[j]) >= T.SIMILAR * len(sets[i] | sets[j]) and end is not None and whole[j][end].isalnum():
+                want.add((str(i).encode(), str(j).encode()))
+    assert len(want) >= 40 and want <= got
