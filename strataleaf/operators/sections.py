@@ -15,7 +15,7 @@ SOURCE = r"(?is)\(\s*Source:\s*([^)]*?)\s*\)"
 LEGACY = r"(?is)\(\s*from\s+Ch\.\s*([^)]+?)\s*\)"
 VERSION = r"(?is)\(\s*Text of (?:Section|Sec\.)[^)]*?\)"
 CATCHLINE = r"\bSec\.\s*([0-9A-Za-z.\-]+)\s*\."
-INSTRUCTION = r"(?m)(?:^|\n)[ \t]*Section\s+[0-9]+[0-9A-Za-z.\-]*\."
+INSTRUCTION = r"\n[ \t]*Section\s+[0-9]+[0-9A-Za-z.\-]*\."
 WAS = r"(?is)\(\s*was\s+([0-9]+)\s+ILCS\s+([0-9A-Za-z.\-]+)\s*/\s*([^)]+?)\s*\)"
 ACT_IN_SOURCE = r"(?i)\bP\.?\s?A\.?\s*[0-9]{2,3}-[0-9]{1,4}"
 ACT_TOKEN = r"(?<![\w.\-])([0-9]{2,3}-[0-9]{1,4})(?![\w\-])"
@@ -103,10 +103,10 @@ def parse_blocks(documents: DataFrame, doc_id: str, text: Column) -> DataFrame:
     ).where("section <> ''")
     raw, trailer, catch = F.col("raw"), F.col("trailer"), F.col("catch")
     # places are counted from 0, as lengths of what stands before
-    catch_at = F.when(catch.isNotNull(), F.instr(raw, catch) - 1)
+    catch_at = F.when(catch.isNotNull(), F.regexp_instr(raw, F.lit(CATCHLINE)) - 1)  # not instr: its text may stand within a word before
     after_catch = F.coalesce(catch_at + F.char_length(catch), F.lit(0))
     instruction = F.regexp_substr(F.substr(raw, after_catch + 1), F.lit(INSTRUCTION))
-    instruction_at = after_catch + F.instr(F.substr(raw, after_catch + 1), instruction) - 1 + F.when(instruction.startswith("\n"), 1).otherwise(0)
+    instruction_at = after_catch + F.instr(F.substr(raw, after_catch + 1), instruction)  # after the line break
     end = F.coalesce(F.when(trailer.isNotNull(), F.instr(raw, trailer) - 1), instruction_at, F.char_length(raw))
     legacy, version = F.regexp_substr(raw, F.lit(LEGACY)), F.regexp_substr(raw, F.lit(VERSION))
     bounded = parsed.withColumns({"end": end, "catch_at": catch_at, "legacy": legacy, "version": version})

@@ -201,13 +201,25 @@ def parsed_documents(spark: SparkSession, d: str) -> DataFrame:
     " md5(CASE WHEN strpos(raw, catch) < strpos(raw, trailer) THEN substr(raw, strpos(raw, catch), strpos(raw, trailer) - strpos(raw, catch)) ELSE '' END) AS body_digest FROM b"
 )
 def parsed_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """PS5, PS7: the marks and body of blocks that hold one headed section with a catchline and a trailer."""
+    """PS5, PS7: the marks and body of blocks that hold one headed section with a catchline and a trailer, as the SQL has
+    them; :func:`section_blocks` has those of all blocks."""
     one = lambda pattern: F.size(F.regexp_extract_all("raw", F.lit(pattern), F.lit(0))) == 1
     blocks = table(spark, d, "blocks").where(F.col("raw").isNotNull() & ~F.col("raw").rlike(r"Section\s+[0-9]+[0-9A-Za-z.\-]*\."))
     blocks = blocks.where(one(P.HEADER) & one(P.SOURCE) & F.col("raw").rlike(f"^{P.HEADER}") & F.col("raw").rlike(P.CATCHLINE))
     return P.parse_blocks(blocks, "block_id", F.col("raw")).select(F.col("doc_id").alias("block_id"), "legacy_cite", "version_marker", F.md5("body").alias("body_digest"))
 
 
+@R.query()
+def section_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """PS1-PS3, PS5-PS8: all section blocks of every document's text and every block's raw, with all their marks."""
+    documents = P.parse_blocks(table(spark, d, "documents"), "doc_id", F.col("text")).withColumn("record_kind", F.lit("document"))
+    blocks = P.parse_blocks(table(spark, d, "blocks"), "block_id", F.col("raw")).withColumn("record_kind", F.lit("block"))
+    return documents.unionByName(blocks).select(
+        "record_kind", F.col("doc_id").alias("record_id"), "pos", "ver", S.citation_text(F.col("citation")).alias("citation"), "op_marker", "catchline", "legacy_cite", "version_marker",
+        F.when(F.col("renumbered_from").isNotNull(), S.citation_text(F.col("renumbered_from"))).alias("renumbered_from"), F.md5("raw").alias("raw_digest"), F.md5("body").alias("body_digest"), F.col("source.raw").alias("source"),
+    )
+
+
 @R.query(
     "SELECT response_id, (len(regexp_extract_all(body, '(?i)<(?:strike|s|del)(?:\\s[^<>]*)?>')))::INT AS strike_spans, (len(regexp_extract_all(body, '(?i)<(?:u|ins)(?:\\s[^<>]*)?>')))::INT AS insert_spans FROM responses WHERE body IS NOT NULL"
 )

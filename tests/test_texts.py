@@ -1,4 +1,5 @@
 import difflib
+import hashlib
 import random
 import re
 import unicodedata
@@ -13,6 +14,7 @@ from strataleaf.functions import scalars as S
 from strataleaf.operators import compare as C
 from strataleaf.operators import extract as X
 from strataleaf.operators import sections as P
+from strataleaf.plans import texts as texts_plan
 
 
 def column(spark, values, f):
@@ -170,6 +172,61 @@ def test_no_sections_and_long_documents(spark):
     assert len(parsed(spark, long)) == 800
 
 
+def scalar_blocks(text):
+    """A plain statement of the parser: ``(pos, ver, citation, marker, catchline, legacy, version, was, raw, body, source)``."""
+    flags = re.A | re.S | re.I
+    heads = list(re.finditer(P.HEADER, text, re.A))
+    for pos, m in enumerate(heads):
+        window = text[m.start() : heads[pos + 1].start() if pos + 1 < len(heads) else len(text)]
+        chapter, act, section = re.match(P.HEADER_PARTS, window, re.A).groups()
+        section = " ".join(section.split())
+        op = re.match(r"(.*?)\s+(new|rep\.)$", section, flags)
+        section, op = (op[1], op[2].lower()) if op else (section, None)
+        if not section:
+            continue
+        cuts = [0] + [s.end() for s in re.finditer(r"\(\s*Source:\s*[^)]*?\s*\)", window, flags)]
+        pieces = [window[a:b] for a, b in zip(cuts, cuts[1:])] or [window]
+        for ver, raw in enumerate(pieces, 1):
+            find = lambda pattern, f=flags: re.search(pattern, raw, f)
+            source, catch = find(r"\(\s*Source:\s*([^)]*?)\s*\)"), find(r"\bSec\.\s*([0-9A-Za-z.\-]+)\s*\.", re.A)
+            legacy, version = find(r"\(\s*from\s+Ch\.\s*([^)]+?)\s*\)"), find(r"\(\s*Text of (?:Section|Sec\.)[^)]*?\)")
+            order = re.compile(r"^[ \t]*Section\s+[0-9]+[0-9A-Za-z.\-]*\.", re.A | re.M).search(raw, catch.end() if catch else 0)
+            end = source.start() if source else order.start() if order else len(raw)
+            start = catch.start() if catch else max([m.end() for m in (legacy, version) if m and m.end() <= end], default=0)
+            was = re.search(r"\(\s*was\s+([0-9]+)\s+ILCS\s+([0-9A-Za-z.\-]+)\s*/\s*([^)]+?)\s*\)", raw[:end] if end else raw, flags)
+            yield (
+                pos, ver, f"{chapter} ILCS {act}/{section}", op, catch and catch[1], legacy and legacy[1].strip(), version and " ".join(version[0].split()),
+                was and f"{was[1]} ILCS {was[2]}/{' '.join(was[3].split())}", digest(raw), digest(raw[start:end]), source and " ".join(source[1].split()),
+            )
+
+
+def digest(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+ODD = [
+    "(5 ILCS 1/2) (from Ch. 1, par. 2) (Text of Section after\nx) words\nSection 9. Next.\n",  # no catchline, no trailer
+    "(5 ILCS 1/2)\nSec. 2. Words.\nSection 9. Next. Section 10. x",
+    "(5 ILCS 1/2)\nxSec. 2. Sec. 2. Words (was 5 ILCS 1/7)\n(Source: P.A. 90-1.)\n (Text of Sec. 2 later) no catchline (Source: P.A. 91-1.) tail",
+    "(5 ILCS 1/2) (Source: P.A. 90-1.)\nSec. 2. After its trailer. Section 4. (from Ch. 2, par. 3)",
+    "(5 ILCS 1/2) Section 3. opens here\nSec. 2. Words of\n  Section 7. go.",
+    "(5 ILCS 1/2) Sec. 2. Section 5. of this Act applies.",
+    "(5 ILCS 1/2) Sec. 2. Words.Section 5. not at a line's start\n \t Section 5. at one",
+]
+
+
+def test_section_blocks_of_whole_tables_against_a_scalar_statement(spark, tmp_path):
+    small = "/root/testdata/sf0.001"
+    documents, blocks = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "blocks"))
+    texts = [TWO, ACT, *ODD, "", None, *(r.text for r in documents.select("text").collect()), *(r.raw for r in blocks.select("raw").collect())]
+    odd = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    odd.select(F.col("doc_id").alias("block_id"), F.col("text").alias("raw")).write.parquet(str(tmp_path / "blocks.parquet"))
+    got = sorted(map(repr, (tuple(r) for r in texts_plan.section_blocks(spark, str(tmp_path)).collect())))
+    want = [(kind, i, *row) for kind in ("document", "block") for i, t in enumerate(texts) if t for row in scalar_blocks(t)]
+    assert len(want) > 2 * len(ODD) and got == sorted(map(repr, want))
+
+
 def test_source_lines(spark):
     raws = ["P.A. 102-839, eff. 5-13-22; 103-274", "Laws 1961, p. 5", "P.A.102-839", "P.A. 90-1; 90-1; 91-2", None]
     got = column(spark, raws, lambda c: F.array_join(P.source_line(c)["pa_numbers"], ","))
