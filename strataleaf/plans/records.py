@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataleaf.functions import scalars as S
 from strataleaf.functions.references import act_number, hash_value, page_url
 from strataleaf.functions.whitespace import DUCK_WS as WS
+from strataleaf.operators import extract as X
 from strataleaf.operators import ledger as L
 from strataleaf.operators import match as M
 from strataleaf.operators import metrics as G
@@ -75,9 +76,17 @@ def known_acts(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "enactments").select(
         S.padded_act(F.concat_ws("-", number["assembly"], number["serial"])).alias("pa_key"), F.col("withdrawn_at").isNull().alias("held")
     )
-    return rows.where("pa_key IS NOT NULL").groupBy("pa_key").agg(F.bool_or("held").alias("online"), (~F.bool_or("held")).alias("failed")).withColumns(
-        {"blocks_in_act": F.lit(0), "strike_spans": F.lit(0), "insert_spans": F.lit(0)}
+    return rows.where("pa_key IS NOT NULL").groupBy("pa_key").agg(F.bool_or("held").alias("online"), (~F.bool_or("held")).alias("failed"))
+
+
+def acts_with_counts(acts: DataFrame, printed: DataFrame) -> DataFrame:
+    """``acts`` with how many blocks each prints, and how many marked deletions and insertions are in them."""
+    spans = X.extraction(F.col("pre_body"))
+    counts = printed.select("pa_key", spans["strike_spans"].alias("s"), spans["insert_spans"].alias("i")).groupBy("pa_key").agg(
+        F.count(F.lit(1)).alias("blocks_in_act"), F.sum("s").alias("strike_spans"), F.sum("i").alias("insert_spans")
     )
+    named = ("blocks_in_act", "strike_spans", "insert_spans")
+    return acts.join(counts, "pa_key", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("int") for c in named})
 
 
 # --- matching ------------------------------------------------------------------------------------------------------------
@@ -101,7 +110,8 @@ def hop_candidates(spark: SparkSession, d: str) -> DataFrame:
 def single_hop_cases(spark: SparkSession, d: str) -> DataFrame:
     """JN1-JN3, WN1, CP1-CP5, CL1-CL5: every current section matched with its source Act, compared and labelled."""
     s = sections(spark, d).select(F.col("block_id").alias("case_idx"), "citation", "body", "version_marker", F.coalesce("source", P.source_line(F.lit(""))).alias("source"))
-    return M.single_hop(s, known_acts(spark, d), printed_blocks(spark, d))
+    printed = printed_blocks(spark, d)
+    return M.single_hop(s, acts_with_counts(known_acts(spark, d), printed), printed)
 
 
 @R.query(

@@ -10,6 +10,7 @@ from strataleaf.operators import ordered as O
 from strataleaf.operators import sampling as A
 from strataleaf.operators import temporal as V
 from strataleaf.operators.sections import source_line
+from strataleaf.plans import records
 from strataleaf.sources import index_pages, store
 from strataleaf.streaming import ledger_stream as T
 
@@ -75,6 +76,27 @@ def test_single_hop(spark):
     assert got[9].note.startswith("the Act does not print") and got[1].note is None
 
 
+def test_single_hop_cases_count_what_acts_print(spark, tmp_path):
+    source = "struct<raw: string, pa_numbers: array<string>, has_non_pa_provenance: boolean>"
+    c = lambda s: Row(chapter="5", act="1", section=s)
+    src = lambda t: Row(raw=t, pa_numbers=[], has_non_pa_provenance=False)
+    spark.createDataFrame(
+        [
+            (1, 1, T0, c("1"), 1, "a <strike>b</strike> <u>c</u> <s>d</s>", "a c", None, None, src("P.A. 100-1")),
+            (2, 2, T0, c("2"), 1, "<ins>x</ins>", "x", None, None, src("P.A. 90-1; 100-1")),
+            (3, 2, T0, c("3"), 1, "<u>y</u>", "y", None, None, src("P.A. 101-1")),
+            (4, 8, T0, c("9"), 1, "z", "z", None, None, src("P.A. 100-1")),
+            (5, 8, T0, c("8"), 1, "z", "z", None, None, src("P.A. 102-1")),
+        ],
+        f"block_id bigint, snapshot_no int, seen_at timestamp, citation {CIT}, ver int, raw string, body string, version_marker string, op_marker string, source {source}",
+    ).write.parquet(str(tmp_path / "blocks.parquet"))
+    spark.createDataFrame([("P.A. 100-1", None), ("102-1", None)], "pa_number string, withdrawn_at timestamp").write.parquet(str(tmp_path / "enactments.parquet"))
+    got = {r.case_idx: r for r in records.single_hop_cases(spark, str(tmp_path)).collect()}
+    assert {r.classification for r in got.values()} == {"TARGET_RESOLUTION"}
+    assert (got[4].strike_spans_in_act, got[4].insert_spans_in_act) == (2, 2) and "(2 section blocks found in it)" in got[4].note
+    assert (got[5].strike_spans_in_act, got[5].insert_spans_in_act, got[5].note) == (0, 0, "no section blocks parsed out of the Act")
+
+
 # --- sampling ---
 
 
