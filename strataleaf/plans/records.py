@@ -368,7 +368,8 @@ def labels(spark: SparkSession, d: str) -> DataFrame:
     f"WITH l AS {_LABELS}, s AS {_SAMPLE} SELECT l.chapter, l.act, first(l.act_label ORDER BY l.seq) AS first_label, last(l.act_label ORDER BY l.seq) AS last_label FROM l JOIN s USING (chapter, act) GROUP BY ALL"
 )
 def resolved_acts(spark: SparkSession, d: str) -> DataFrame:
-    """JN4, JN5: the sample's Acts by (chapter, act), with the first and the last label of each."""
+    """JN4, JN5: the Acts of chapters ending in 1 by (chapter, act), with the first and the last label of each; all Acts
+    are in :func:`all_resolved_acts`."""
     known = labels(spark, d)
     sample = known.where("chapter LIKE '%1'").select("chapter", "act").distinct()
     return known.join(sample, ["chapter", "act"]).groupBy("chapter", "act").agg(F.min_by("act_label", "seq").alias("first_label"), F.max_by("act_label", "seq").alias("last_label"))
@@ -380,7 +381,8 @@ def resolved_acts(spark: SparkSession, d: str) -> DataFrame:
     " SELECT tier, label, row_number() OVER (ORDER BY tier, far, ord, seq) AS place FROM q"
 )
 def work_queue(spark: SparkSession, d: str) -> DataFrame:
-    """JN7, JN9, 2.10, 2.11: the queue put together from tiers, near chapters first, then by numeric chapter, stable."""
+    """JN7, JN9: a queue over whole sampled chapters (those ending in 1), of tiers 0 and 3 only; all tiers are in
+    :func:`crawl_queue`."""
     known = labels(spark, d)
     sample = known.where("chapter LIKE '%1'").select("chapter", "act").distinct()
     near = sample.select("chapter").distinct().withColumn("near", F.lit(True))
@@ -391,6 +393,67 @@ def work_queue(spark: SparkSession, d: str) -> DataFrame:
     return A.ranked(first.unionByName(others).withColumn("g", F.lit(0)), ["g"], ["tier", "far", "ord", "seq"]).select("tier", "label", (F.col("rank") + 1).alias("place"))
 
 
+#: How many Acts are sampled where no sample is given: those with the most cases.
+SAMPLED = 7
+_NAMED = "(SELECT act_label, case_idx, trim(split_part(act_label, ' ILCS ', 1)) AS chapter, trim(split_part(split_part(act_label, ' ILCS ', 2), '/', 1)) AS act FROM cases WHERE act_label LIKE '% ILCS %')"
+_LARGEST = f"(SELECT chapter, act FROM {_NAMED} GROUP BY ALL ORDER BY count(*) DESC, chapter, act LIMIT {SAMPLED})"
+
+
+def sample_acts(spark: SparkSession, d: str) -> DataFrame:
+    """``chapter, act``: the sample, Acts and not whole chapters, so that its chapters can hold others."""
+    key = S.act_key(F.col("act_label"))
+    named = table(spark, d, "cases").select(key["chapter"].alias("chapter"), key["act"].alias("act")).where("chapter IS NOT NULL")
+    return named.groupBy("chapter", "act").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "chapter", "act").limit(SAMPLED).select("chapter", "act")
+
+
+@R.query(f"SELECT chapter, act, first(act_label ORDER BY case_idx) AS first_label, last(act_label ORDER BY seq) AS last_label FROM (SELECT *, min(case_idx) OVER (PARTITION BY act_label) AS seq FROM {_NAMED}) GROUP BY ALL")
+def all_resolved_acts(spark: SparkSession, d: str) -> DataFrame:
+    """JN4, JN5: every Act that a label names by (chapter, act), with the first and the last label of each."""
+    return labels(spark, d).groupBy("chapter", "act").agg(F.min_by("act_label", "seq").alias("first_label"), F.max_by("act_label", "seq").alias("last_label"))
+
+
+def queue_of(known: DataFrame, sample: DataFrame, cited: DataFrame, probes: list[str]) -> DataFrame:
+    """``tier, label, place``: the work queue, in its order.
+
+    Tier 0: the Public Acts that the sample cites, by number; 1: the probes of the floor, as given; 2: the other Acts of the
+    sample's chapters; 3: all others; both by numeric chapter, then ``seq``. The sample's own Acts are no work.
+
+    :param known: ``act_label, seq, chapter, act``; chapter and act are null of a label that names none.
+    :param sample: ``chapter, act``; **cited**: ``pa_key``, each once.
+    """
+    near = sample.select("chapter").distinct().withColumn("near", F.lit(True))
+    rest = known.join(sample.distinct(), ["chapter", "act"], "left_anti").join(near, "chapter", "left")
+    place = [F.lit(0).cast("long").alias("ord"), "seq"]
+    acts = cited.select(F.lit(0).alias("tier"), F.concat(F.lit("P.A. "), "pa_key").alias("label"), place[0], F.replace("pa_key", F.lit("-"), F.lit("")).cast("long").alias("seq"))
+    spark = known.sparkSession
+    floor = spark.createDataFrame([(f"floor probe P.A. {p}", i) for i, p in enumerate(probes)], "label string, seq long").select(F.lit(1).alias("tier"), "label", *place)
+    order = F.coalesce(S.chapter_order(F.col("chapter"))[0].cast("long"), F.lit(1_000_000_000).cast("long"))
+    others = rest.select(F.when(F.coalesce("near", F.lit(False)), 2).otherwise(3).alias("tier"), F.col("act_label").alias("label"), order.alias("ord"), F.col("seq").cast("long").alias("seq"))
+    items = acts.unionByName(floor).unionByName(others).withColumn("g", F.lit(0))
+    return A.ranked(items, ["g"], ["tier", "ord", "seq"]).select("tier", "label", (F.col("rank") + 1).alias("place"))
+
+
+_CITED_GA = f"coalesce(try_cast(split_part({_LAST_ACT}, '-', 1) AS INT), 0)"
+
+
+@R.query(
+    f"WITH s AS {_LARGEST}, l AS (SELECT act_label, min(case_idx) AS seq, CASE WHEN act_label LIKE '% ILCS %' THEN trim(split_part(act_label, ' ILCS ', 1)) END AS chapter, CASE WHEN act_label LIKE '% ILCS %' THEN trim(split_part(split_part(act_label, ' ILCS ', 2), '/', 1)) END AS act FROM cases WHERE act_label IS NOT NULL GROUP BY 1),"
+    f" c AS (SELECT DISTINCT {_PADDED(_LAST_ACT)} AS pa FROM {SECTIONS} WHERE (citation.chapter, citation.act) IN (SELECT (chapter, act) FROM s) AND {_CITED_GA} >= {S.FLOOR_GA}),"
+    f" q AS (SELECT 0 AS tier, 'P.A. ' || pa AS label, 0 AS ord, replace(pa, '-', '')::BIGINT AS seq FROM c UNION ALL SELECT 1, 'floor probe P.A. ' || p, 0, i FROM (SELECT unnest({_PROBES}) AS p, generate_subscripts({_PROBES}, 1) AS i)"
+    " UNION ALL SELECT CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.chapter = l.chapter) THEN 2 ELSE 3 END, act_label, coalesce(try_cast(chapter AS BIGINT), 1000000000), seq FROM l WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.chapter = l.chapter AND s.act = l.act))"
+    " SELECT tier, label, row_number() OVER (ORDER BY tier, ord, seq) AS place FROM q"
+)
+def crawl_queue(spark: SparkSession, d: str) -> DataFrame:
+    """JN7, JN9, 2.10, 2.11: the queue of all tiers: Acts cited by the sample, probes of the floor, near Acts, others."""
+    sample = sample_acts(spark, d)
+    t = terminal(F.col("source"))
+    own = sections(spark, d).select(F.col("citation.chapter").alias("chapter"), F.col("citation.act").alias("act"), t.alias("t")).join(sample, ["chapter", "act"], "left_semi")
+    cited = own.where(F.coalesce(F.split_part("t", F.lit("-"), F.lit(1)).try_cast("int"), F.lit(0)) >= S.FLOOR_GA).select(S.padded_act(F.col("t")).alias("pa_key")).distinct()
+    key = S.act_key(F.col("act_label"))
+    known = table(spark, d, "cases").where("act_label IS NOT NULL").groupBy("act_label").agg(F.min("case_idx").alias("seq")).withColumn("k", key).select("act_label", "seq", "k.chapter", "k.act")
+    return queue_of(known, sample, cited, _PROBES)
+
+
 # --- reports --------------------------------------------------------------------------------------------------------------
 
 

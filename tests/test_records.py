@@ -126,6 +126,24 @@ def test_take_evenly(spark):
             assert got.get((n, k), set()) == want
 
 
+def test_queue_of_all_tiers(spark):
+    known = [("5 ILCS 1/ A", 9, "5", "1"), ("5 ILCS 2/ B", 4, "5", "2"), ("30 ILCS 1/ C", 1, "30", "1"), ("7 ILCS 1/ D", 2, "7", "1"), ("5 ILCS 3/ E", 3, "5", "3"), ("no key", 0, None, None)]
+    known = spark.createDataFrame(known, "act_label string, seq long, chapter string, act string")
+    sample, cited = spark.createDataFrame([("5", "1")], "chapter string, act string"), spark.createDataFrame([("101-0003",), ("099-0001",)], "pa_key string")
+    got = [(r.tier, r.label) for r in records.queue_of(known, sample, cited, ["092-0001", "090-0001"]).orderBy("place").collect()]
+    assert got == [
+        (0, "P.A. 099-0001"), (0, "P.A. 101-0003"), (1, "floor probe P.A. 092-0001"), (1, "floor probe P.A. 090-0001"),
+        (2, "5 ILCS 3/ E"), (2, "5 ILCS 2/ B"), (3, "7 ILCS 1/ D"), (3, "30 ILCS 1/ C"), (3, "no key"),
+    ]
+
+
+def test_all_tiers_and_acts_of_the_tables(spark):
+    small = "/root/testdata/sf0.001"
+    named = {(r.chapter, r.act) for r in records.labels(spark, small).collect()}
+    assert {(r.chapter, r.act) for r in records.all_resolved_acts(spark, small).collect()} == named
+    assert {r.tier for r in records.crawl_queue(spark, "/root/testdata/sf0.01").collect()} == {0, 1, 2, 3}
+
+
 # --- metrics ---
 
 
