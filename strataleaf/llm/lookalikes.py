@@ -193,6 +193,8 @@ def representatives(counts: dict[str, int]) -> tuple[dict[str, str], dict[tuple[
 
 _WORD = re.compile(r"[^\W\d_]+")
 _OTHER = re.compile("[Ͱ-ԯἀ-῿]")
+#: Joiners and variation selectors, and the tags of a flag: the unseen characters that can change how their neighbours look.
+_JOINS = re.compile("[\u200c\u200d\u180b-\u180d\u180f\ufe00-\ufe0f\U000e0020-\U000e007f\U000e0100-\U000e01ef]+")
 
 
 def _is_picture(ch: str) -> bool:
@@ -227,7 +229,7 @@ class Rewriter:
             out, at = [], 0
             for end, (size, to) in self.words.iter_long(text):
                 start = end - size + 1
-                if not to and (start and _is_picture(text[start - 1]) or end + 1 < len(text) and ord(text[end + 1]) >= 0x1F000):
+                if not to and _JOINS.fullmatch(text, start, end + 1) and (start and _is_picture(text[start - 1]) or end + 1 < len(text) and ord(text[end + 1]) >= 0x1F000):
                     continue  # joins or varies a picture, or a letter whose form it changes
                 out += text[at:start], to
                 at = end + 1

@@ -26,6 +26,15 @@ def test_what_can_be_seen_to_differ_stays():
     assert REWRITE("Čelanka") != REWRITE("Celanka") and REWRITE("x²") != REWRITE("x2")
 
 
+def test_only_joiners_and_selectors_stay_beside_pictures_and_letters_they_change():
+    for plain in ["4 °C", "水位", "שלום", "a ` b", "🚢 at sea"]:
+        for unseen in "\u00ad\u200b\u2060\ufeff\u200e":
+            odd = plain[:3] + unseen + plain[3:]
+            assert REWRITE(odd) == plain and REWRITE(plain) == plain, ascii(odd)
+    for text in ["水\ufe00位", "👩\u200d🌾", "क्\u200dष", "می\u200cخواهم", "☂\ufe0f"]:
+        assert REWRITE(text) == text, ascii(text)
+
+
 def test_classes_are_transitive_and_representatives_follow_the_corpus():
     k = next(c for c, _ in L.classes() if "K" in c)
     assert {"K", "\u212a", "К", "Κ", "Ｋ"} <= set(k)
