@@ -107,11 +107,12 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p9_rates(spark: SparkSession, directory: str) -> DataFrame:
-    """How many of each source's documents there are, how many are cut, and their part."""
+    """How many of each source's documents there are, how many are cut, of these how many by a near-copy that goes on, and
+    their part."""
     return (
         truncation.truncated(table(spark, directory, "documents"), ["doc_id", "source"], F.col("text"))
         .groupBy("source")
-        .agg(F.count(F.lit(1)).alias("documents"), F.count_if("cut").alias("cut"))
+        .agg(F.count(F.lit(1)).alias("documents"), F.count_if("cut").alias("cut"), F.count_if("by_copy").alias("by_copy"))
         .withColumn("rate", F.col("cut") / F.col("documents"))
     )
 

@@ -1,280 +1,158 @@
 """Texts that stop before their end.
 
-Near-copies are found by min-hash banding over shingles of five words and verified; of an aligned pair, the copy whose
-alignment ends early, within a word or an open sentence, was cut. Texts are also scored by themselves, by how terminal
-their closing words are: whether the last word with its stop ends sentences elsewhere or, like an abbreviation, goes on,
-and whether a short last line is one that ends other texts. Both are counted over all texts in tables of fixed size.
+Near-copies are found by min-hash banding over shingles of five words. A cut text is like the beginning of the text it was
+cut from, however little of it is left; so beginnings are banded, of 5, 15, 45 words and so on: of every text all of these
+that it has, and it asks for others by its longest. Of the texts that meet, those that have the asking text's last words
+with more after them are verified (at least 0.8 of its shingles are in the other) and aligned; where the alignment ends early,
+within a word or an open sentence, the text was cut. All texts are also scored by how terminal their closing words are
+(:mod:`strataleaf.llm.terminality`), which decides for those without a near-copy that goes on.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataleaf.llm import terminality
+from strataleaf.llm.leakage import common_words
 from strataleaf.session import written
 
-#: Words of a shingle, least Jaccard similarity, and bands of rows of min-hashes.
-SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
-#: Counters of each table of closing words: 64 bytes times this are sent to the workers, whatever the data. Words and
-#: lines have tables of their own, each kept twice under different hashes, of which the smaller count holds.
-BUCKETS = 1 << 17
-#: Words of a last line that is taken as a whole, and the least share of texts that end in one to make it an ending.
-LINE_WORDS, LINE_SHARE, LINE_LEAST = 6, 0.0005, 5
+#: Words of a shingle, least part of a text's shingles that its near-copy has, bands and rows of min-hashes.
+SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 8, 3
+#: Each banded beginning has this many times the words of the one before.
+GROWTH = 3
+#: The least probability, given its closing words, that a text was cut.
+LEAST = 0.05
+#: Words before a text's end that are aligned.
+TAIL = 24
+#: Characters of a last, perhaps cut, word that are part of its key, and flags of the words before it that are sought.
+HEAD, FLAGS = 3, 1 << 20
+#: Shingles that are hashed at once.
+CHUNK = 1 << 14
 
-_PRIME = (1 << 61) - 1
+_WORD = re.compile(r"\w+")
+_STOPS = ".?!。！？؟।"
 _CLOSERS = "\"'”’»)]}）】」』›*_`"
-_END = re.compile(r"[.?!。！？؟।…]")
-_DOTS = re.compile(r"(?:\.{2,}|…|\. \. \.)\s*(?P<after>[\"'”’»)\]]*)$")
-_QUOTE = "\"'”’»"
-# Months as they are written in English.
-_MONTH = r"(?:Jan(?:uary|\.)?|Feb(?:ruary|\.)?|Mar(?:ch|\.)?|Apr(?:il|\.)?|May|June?|July?|Aug(?:ust|\.)?|Sept?(?:ember|\.)?|Oct(?:ober|\.)?|Nov(?:ember|\.)?|Dec(?:ember|\.)?)"
-_LINE_FORMS = re.compile(
-    rf"(?:(?:\w+ ){{0,3}}(?:{_MONTH} \d{{1,2}}, \d{{4}}|\d{{1,2}} {_MONTH} \d{{4}}|\d{{4}}-\d\d-\d\d|\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}})"  # a date
-    r"|(?:[\w:]+ ){0,4}(?:https?://)?[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}(?:/[\w.~%?=&#-]+)*/[\w.~%?=&#-]*\d"  # an address that ends in a number
-    r"|(?:[\w-]+: )?[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
-    r"|Form (?:No\. )?\d+-[A-Z0-9]+"
-    r"|\S.*?(?:\s{2,}|\t)[$€£]?[\d,.]+\d%?"  # a row of a table
-    r"|\|.*\||[*#=_~-][*#=_~\s-]*|\[[^\[\]]+\]|(?:THE )?END(?: OF [A-Z]+)?)$"  # a row, and closing marks
-)
-
-
-def last_line(text: str) -> str:
-    text = text.rstrip()
-    return text[max(text.rfind("\n"), text.rfind("\r")) + 1 :].strip()
-
-
-def form(words: str) -> str:
-    """Lower case with every digit as ``9``."""
-    return re.sub(r"[0-9]", "9", " ".join(words.split()).lower())
-
-
-def _slots(key: str, lines: bool) -> tuple[int, int]:
-    first = crc32(key.encode("utf-8", "replace"))
-    second = (first * 0x9E3779B1 ^ len(key) * 0x85EBCA77 ^ crc32(key[::-1].encode("utf-8", "replace"))) & 0xFFFFFFFF
-    base = 2 * BUCKETS * lines
-    return base + first % BUCKETS, base + BUCKETS + second % BUCKETS
-
-
-class Closings:
-    """How often words with a full stop, and short lines, end a sentence (a text) and how often they go on."""
-
-    def __init__(self, counts: np.ndarray | None = None) -> None:
-        self.counts = np.zeros((4 * BUCKETS + 1, 2), "int64") if counts is None else counts
-
-    @property
-    def texts(self) -> int:
-        return int(self.counts[-1, 0])
-
-    def of(self, key: str, lines: bool) -> tuple[int, int]:
-        """``(ends, goes on)``."""
-        ends, goes = self.counts[list(_slots(key, lines))].min(0)
-        return int(ends), int(goes)
-
-    def add(self, key: str, lines: bool, goes_on: bool) -> None:
-        for slot in _slots(key, lines):
-            self.counts[slot, int(goes_on)] += 1
-
-
-_STOPPED = re.compile(r"(\S*\w\.)(?=(\s+)(\S))")
-
-
-def closing_counts(texts: DataFrame) -> Closings:
-    """The closings of all texts of a column ``text``."""
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Closings()
-        counts = own.counts
-        known: dict[str, tuple[int, int]] = {}
-        for batch in batches:
-            for text in batch["text"]:
-                text = text.rstrip()
-                if not text:
-                    continue
-                counts[-1, 0] += 1
-                for word, gap, after in _STOPPED.findall(text):
-                    slots = known.get(word)
-                    if slots is None:
-                        if len(known) > 100_000:
-                            known.clear()
-                        slots = known[word] = _slots(form(word), False)
-                    goes = not (after.isupper() or "\n" in gap or after in "(\"“«*[" or not after.isascii())
-                    counts[slots[0], int(goes)] += 1
-                    counts[slots[1], int(goes)] += 1
-                lines = [x for x in text.splitlines() if x.strip()]
-                for i, line in enumerate(lines):
-                    if len(line) < 80 and len(line.split()) <= LINE_WORDS:
-                        own.add(form(line), True, i + 1 < len(lines))
-        at = np.flatnonzero(counts.any(1))
-        yield pd.DataFrame({"at": at, "ends": counts[at, 0], "goes": counts[at, 1]})
-
-    rows = texts.select("text").where("text IS NOT NULL").mapInPandas(counted, "at int, ends bigint, goes bigint")
-    got = rows.groupBy("at").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes")).toPandas()  # at most 4 * BUCKETS + 1 rows
-    out = Closings()
-    out.counts[got["at"], 0], out.counts[got["at"], 1] = got["ends"], got["goes"]
+_BROKEN = "�"
+_random = np.random.default_rng(5)
+_SEEDS = _random.integers(1, 1 << 63, BANDS * ROWS, dtype="uint64") | np.uint64(1)
+_SHIFTS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype="uint64")
+_PLACES = _random.integers(1, 1 << 63, SHINGLE, dtype="uint64") | np.uint64(1)
+_WEIGHTS = _random.integers(1, 1 << 63, ROWS, dtype="uint64") | np.uint64(1)
+
+
+def hash_of(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))
+
+
+class Shingler:
+    """The shingles of texts as hashes; hashes of words are kept from text to text."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def __call__(self, text: str) -> np.ndarray:
+        """One hash for each place of a shingle; none of a text with fewer words."""
+        words = _WORD.findall(text.casefold())
+        if len(words) < SHINGLE:
+            return np.zeros(0, "uint64")
+        known = self.known
+        if len(known) > 200_000:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = hash_of(w)
+        hashes = np.array([known[w] for w in words], "uint64")
+        n = len(words) - SHINGLE + 1
+        with np.errstate(over="ignore"):
+            found = sum(hashes[k : k + n] * _PLACES[k] for k in range(SHINGLE))
+            return found ^ (found >> np.uint64(31))
+
+
+def bands(shingles: np.ndarray) -> list[list[int]]:
+    """The hashes of the bands of each banded beginning of a text, the shortest first."""
+    out: list[list[int]] = []
+    least = np.full(BANDS * ROWS, np.iinfo("uint64").max, "uint64")
+    at, level, words = 0, 0, SHINGLE
+    while len(shingles) >= words - SHINGLE + 1:
+        stop = words - SHINGLE + 1
+        with np.errstate(over="ignore"):
+            for a in range(at, stop, CHUNK):
+                mixed = shingles[a : min(stop, a + CHUNK), None] * _SEEDS + _SHIFTS
+                least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(0))
+            # of one shingle all bands say the same; no two bands or beginnings share a bucket
+            kept = 1 if stop == 1 else BANDS
+            keys = (least.reshape(BANDS, ROWS)[:kept] * _WEIGHTS).sum(1) + np.arange(kept, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level * 0x632BE59B)
+        out.append((keys ^ (keys >> np.uint64(29))).astype("int64").tolist())
+        at, level, words = stop, level + 1, words * GROWTH
     return out
 
 
-def ends_open(text: str | None, closings: Closings) -> bool:
-    """Whether a text ends within a word, sentence or trailer, by its closing words alone. False for null and blank."""
-    text = (text or "").rstrip()
-    if not text:
-        return False
-    line = last_line(text)
-    if text[-1] == "�":
-        return True
-    if dots := _DOTS.search(text):
-        return not (dots["after"] and dots["after"][0] in _QUOTE)
-    if line[0] == "(" and re.match(r"\([A-Z]\w*", line):  # a trailer in brackets
-        depth = 0
-        for ch in line:
-            depth += (ch == "(") - (ch == ")")
-        if depth > 0:
-            return True
-        if line[-1] == ")":
-            return False
-    bare = text.rstrip(_CLOSERS)
-    if bare and _END.match(bare[-1]):
-        if bare[-1] != ".":
-            return False
-        word = bare[max(bare.rfind(" "), bare.rfind("\n")) + 1 :].lstrip("(\"'“«[")
-        ends, goes = closings.of(form(word), False)
-        # a full stop after a letter may be an abbreviation's, which mostly goes on
-        return (goes > ends and len(bare) == len(text) and re.search(r"\d\.$", word) is None)
-    if _LINE_FORMS.match(line):
-        return False
-    if len(line.split()) <= LINE_WORDS:
-        ends, goes = closings.of(form(line), True)
-        return ends < max(LINE_LEAST, LINE_SHARE * closings.texts) or ends <= goes
-    return True
-
-
-_WORD = re.compile(r"\w+")
+def closing_key(before: str, word: str) -> int:
+    return hash_of(before + "\0" + word[:HEAD]) - (1 << 63)
 
 
-def shingles(text: str) -> np.ndarray:
-    """The hashes of the text's shingles, each once; of a text with fewer words, that of all of them."""
-    words = _WORD.findall(text.casefold())
-    if not words:
-        return np.zeros(0, "uint64")
-    grams = {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
-    return np.fromiter((hash_of(g) for g in grams), "uint64")
+def _flag(word: str) -> int:
+    return crc32(word.encode("utf-8", "replace")) % FLAGS
 
 
-def hash_of(gram: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(gram.encode("utf-8", "replace"))
-
-
-_SEEDS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, dtype="uint64") | np.uint64(1)
-_SHIFTS = np.random.default_rng(6).integers(0, 1 << 63, BANDS * ROWS, dtype="uint64")
-
-
-def bands(marks: np.ndarray) -> list[int]:
-    """One hash for each band of a text's min-hashes."""
-    with np.errstate(over="ignore"):
-        mixed = (marks[:, None] ^ (marks[:, None] >> np.uint64(29))) * _SEEDS + _SHIFTS
-        least = (mixed ^ (mixed >> np.uint64(32))).min(0).reshape(BANDS, ROWS)
-        weights = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5][:ROWS], "uint64")
-        found = (least * weights).sum(1) * np.uint64(BANDS) + np.arange(BANDS, dtype="uint64")  # no two bands share one
-    return found.astype("int64").tolist()
-
-
-def alignment_end(text: str, other: str) -> int | None:
-    """Where in ``other`` the alignment with ``text`` ends, if ``text`` is a near-copy that is used up before ``other``."""
-    text = text.rstrip().rstrip("�")
-    if other.startswith(text):
-        return len(text)
-    a, b = text.split(), [(m.group(), m.end()) for m in re.finditer(r"\S+", other)]
-    blocks = SequenceMatcher(None, a, [w for w, _ in b], autojunk=False).get_matching_blocks()
-    i, j, n = blocks[-2] if len(blocks) > 1 else (0, 0, 0)
-    if not n or len(a) - (i + n) > 1:
-        return None
-    end = b[j + n - 1][1]
-    if i + n == len(a) - 1:  # a last word cut short
-        rest = b[j + n][0] if j + n < len(b) else ""
-        if not rest.startswith(a[-1]) or rest == a[-1]:
-            return None
-        end = b[j + n][1] - len(rest) + len(a[-1])
-    return end
+def own_words(text: str) -> list[str]:
+    return text.rstrip().rstrip(_BROKEN).split()
 
 
-def in_shared_buckets(texts: DataFrame) -> DataFrame:
-    """``mark, size, bucket, start``: the bands of a table ``mark, text`` whose buckets hold two texts or more.
+def banded(texts: DataFrame) -> DataFrame:
+    """``mark, low, top, key, part, flag`` of a table ``mark, text``: one row for each text with five words or more, with
+    the buckets of its shorter beginnings and those of its longest, and what its last words are sought by.
 
-    The min-hashes are worked out once and written; of buckets with one text only the key is shuffled.
+    Written: its rows are small, whatever the texts.
     """
 
-    def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingler()
         for batch in batches:
-            rows = []
+            out = []
             for mark, text in zip(batch["mark"], batch["text"]):
-                marks = shingles(text)
-                if len(marks):
-                    start = crc32(" ".join(_WORD.findall(text[:500].casefold())[:SHINGLE]).encode("utf-8", "replace"))
-                    rows += ((mark, len(text), bucket, start) for bucket in bands(marks))
-            yield pd.DataFrame(rows, columns=["mark", "size", "bucket", "start"])
-
-    hashed = written(texts.mapInPandas(banded, "mark binary, size int, bucket bigint, start bigint"))
-    # written, so that its size is known when the join is planned: small it is sent to all tasks, else sorted and merged
-    shared = written(hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
-    return hashed.join(shared, "bucket", "left_semi")
+                found = bands(shingles(text))
+                words = own_words(text)
+                if found and len(words) > 1:
+                    out.append((mark, [b for x in found[:-1] for b in x], found[-1], closing_key(*words[-2:]), words[-1], _flag(words[-2])))
+            yield pd.DataFrame(out, columns=["mark", "low", "top", "key", "part", "flag"])
 
+    return written(texts.mapInPandas(rows, "mark binary, low array<bigint>, top array<bigint>, key bigint, part string, flag int"))
 
-def hub_pairs(crowded: DataFrame) -> DataFrame:
-    """``mark, other``: in each bucket every text with the longest one, and with the longest that begins like it.
-
-    At most twice as many pairs as a bucket has texts; the longest ones are aggregates, which combine before the shuffle.
-    These pairs alone don't find all: the hub of a group of forms need not go on like each text that was cut.
-    """
-    entry = F.struct(F.col("size"), F.col("mark"))
-    near = crowded.groupBy("bucket", "start").agg(F.max(entry).alias("near"))
-    hubs = near.join(near.groupBy("bucket").agg(F.max("near").alias("hub")), "bucket")
-    return (
-        crowded.join(hubs, ["bucket", "start"])
-        .select("mark", F.explode(F.array_distinct(F.array("near.mark", "hub.mark"))).alias("other"))
-        .where("mark <> other")
-        .distinct()
-    )
-
-
-#: Characters of a last, perhaps cut, word that are part of its key, and flags of the words before it that are sought.
-_HEAD, _FLAGS = 3, 1 << 20
 
+def near_copies(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a table ``mark, text``: the texts that ask, ``mark, bucket, key, part``, and those that have what they ask for,
+    ``other, bucket, key, word``: in one bucket, with the last word but one before a word that begins like the last.
 
-def _follow_key(before: str, word: str) -> int:
-    return hash_of(before + "\0" + word[:_HEAD]) - (1 << 63)
+    Wherever an alignment ends within or after a text's last word, with the word before it matched too, the other text is
+    among these; of a bucket of any size only texts meet that can go on alike.
 
-
-def continuing_pairs(texts: DataFrame, crowded: DataFrame, asking: DataFrame) -> DataFrame:
-    """``mark, other``: each text of ``asking`` with all texts of its buckets that may go on after its last words.
-
-    Wherever an alignment ends within or after a text's last word, with the word before it matched too, the other text
-    has that word before one that begins like the last, and more after it. All such texts of a bucket are paired, by a
-    join over (bucket, both words), so that of a group of forms of any size only those meet that can go on alike.
-
-    Scale: of the words sought a table of ``_FLAGS`` flags is sent, so that others are not shuffled.
+    Scale: one row a text is written; buckets are counted by an aggregate that combines before the shuffle; of the words
+    sought a table of ``FLAGS`` flags is sent, so that others are not shuffled.
     """
-
-    def closing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for mark, text in zip(batch["mark"], batch["text"]):
-                words = text.rstrip().rstrip("�").split()
-                if len(words) > 1:
-                    rows.append((mark, _follow_key(*words[-2:]), words[-1], crc32(words[-2].encode("utf-8", "replace")) % _FLAGS))
-            yield pd.DataFrame(rows, columns=["mark", "key", "part", "flag"])
-
-    asked = written(asking.select("mark", "text").mapInPandas(closing, "mark binary, key bigint, part string, flag int"))
-    flags = np.zeros(_FLAGS, bool)
-    flags[asked.select("flag").distinct().toPandas()["flag"].to_numpy("int64")] = True  # at most _FLAGS rows
+    rows = banded(texts)
+    places = rows.select(
+        "mark", F.explode(F.concat(F.transform("low", lambda b: F.struct(b.alias("bucket"), F.lit(False).alias("asks"))), F.transform("top", lambda b: F.struct(b.alias("bucket"), F.lit(True).alias("asks"))))).alias("p")
+    ).select("mark", "p.*")
+    short = F.xxhash64("mark")
+    shared = written(
+        places.groupBy("bucket")
+        .agg(F.min(short).alias("least"), F.max(short).alias("most"), F.bool_or("asks").alias("asked"))
+        .where("asked AND least <> most")
+        .select("bucket")
+    )
+    crowded = written(places.join(shared, "bucket", "left_semi").distinct())
+    asking = written(crowded.where("asks").select("mark", "bucket").join(rows.select("mark", "key", "part", "flag").dropDuplicates(["mark"]), "mark"))
+    flags = np.zeros(FLAGS, bool)
+    flags[asking.select("flag").distinct().toPandas()["flag"].to_numpy("int64")] = True  # at most FLAGS rows
     sought = texts.sparkSession.sparkContext.broadcast(flags)
 
     def followed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,110 +163,129 @@ def continuing_pairs(texts: DataFrame, crowded: DataFrame, asking: DataFrame) ->
                 words = text.split()
                 found = set()
                 for i, (before, word) in enumerate(zip(words, words[1:])):
-                    if flags[crc32(before.encode("utf-8", "replace")) % _FLAGS]:
+                    if flags[_flag(before)]:
                         found.add((before, word if i + 2 < len(words) else word[:-1]))  # after the last word nothing goes on
-                keys = {(_follow_key(before, word[:n]), word) for before, word in found for n in range(1, min(_HEAD, len(word)) + 1)}
+                keys = {(closing_key(before, word[:n]), word) for before, word in found for n in range(1, min(HEAD, len(word)) + 1)}
                 rows += ((mark, key, word) for key, word in keys)
             yield pd.DataFrame(rows, columns=["other", "key", "word"])
 
-    places = crowded.select("mark", "bucket").join(asked.drop("flag"), "mark")
-    near = crowded.join(places.select("bucket").distinct(), "bucket", "left_semi").select(F.col("mark").alias("other"), "bucket")
-    words = texts.join(near.select(F.col("other").alias("mark")).distinct(), "mark", "left_semi").select("mark", "text")
-    follows = words.mapInPandas(followed, "other binary, key bigint, word string").join(asked.select("key").distinct(), "key", "left_semi")
-    return (
-        places.join(near.join(follows, "other"), ["bucket", "key"])
-        .where("mark <> other AND startswith(word, part)")
-        .select("mark", "other")
-        .distinct()
-    )
-
-
-def near_copy_pairs(texts: DataFrame) -> DataFrame:
-    """``mark, other``: candidate pairs of different texts, of a table ``mark, text`` with one row for each text: the
-    hubs of each bucket, and all texts of one bucket of which one may go on where the other ends."""
-    crowded = in_shared_buckets(texts)
-    return hub_pairs(crowded).unionByName(continuing_pairs(texts, crowded, texts)).distinct()
-
-
-def _mark(text: Column) -> Column:
-    return F.unhex(F.md5(text))
+    near = crowded.join(asking.select("bucket").distinct(), "bucket", "left_semi").select(F.col("mark").alias("other"), "bucket").distinct()
+    known = texts.join(near.select(F.col("other").alias("mark")).distinct(), "mark", "left_semi")
+    follows = known.mapInPandas(followed, "other binary, key bigint, word string").join(asking.select("key").distinct(), "key", "left_semi").distinct()
+    wanted = asking.select("bucket", "key").distinct()
+    return asking.drop("flag"), written(near.join(follows, "other").join(wanted, ["bucket", "key"], "left_semi"))
 
 
-def distinct_texts(documents: DataFrame) -> DataFrame:
-    """``mark, text``: each text of a column ``text`` once, under its hash; null and blank ones left out."""
-    kept = documents.select("text").where("text IS NOT NULL AND trim(text) <> ''")
-    return kept.groupBy(_mark(F.col("text")).alias("mark")).agg(F.first("text").alias("text"))
+def alignment_end(text: str, other: str) -> int | None:
+    """Where in ``other`` the alignment with the whole of ``text`` ends; null if its end isn't found there."""
+    own = own_words(text)
+    if len(own) < 2:
+        return None
+    theirs = [(m.group(), m.end()) for m in re.finditer(r"\S+", other)]
+    best: tuple[int, int] | None = None
+    tail = own[-TAIL:-1]
+    for j in range(1, len(theirs)):
+        word, end = theirs[j]
+        if theirs[j - 1][0] == own[-2] and word.startswith(own[-1]):
+            same = common_words(tail, [w for w, _ in theirs[max(0, j - len(tail) - TAIL // 4) : j]])
+            if same >= SIMILAR * len(tail) and (best is None or same > best[0]):
+                best = same, end - len(word) + len(own[-1])
+    return best[1] if best else None
+
+
+def goes_on(other: str, end: int) -> bool:
+    """Whether ``other`` goes on after ``end`` within its word or sentence."""
+    rest = other[end:]
+    if not rest.strip():
+        return False
+    if not rest[0].isspace():
+        return rest[0].isalnum()
+    if other[:end].rstrip(_CLOSERS)[-1:] in _STOPS:
+        return False
+    after = rest.lstrip()
+    return after[0].islower() or not re.search(r"[\r\n]", rest[: len(rest) - len(after)])
 
 
-def cut_by_copies(texts: DataFrame, closings: Closings) -> DataFrame:
-    """``mark``: the texts, of a table ``mark, text``, of which a verified near-copy goes on after their end, though their
-    closing words are not open.
+def cut_by_copies(texts: DataFrame) -> DataFrame:
+    """``mark``: the texts, of a table ``mark, text``, of which a verified near-copy goes on where they end.
 
-    First against the hubs of their buckets, which settle most texts of a large group; then those left over against every
-    text of their buckets that may go on after their last words.
+    First every asking text is held against one text of each group that may go on alike, the greatest by hash; then those
+    left over against all of their group.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(closings)
-
-    def unsettled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[[t.rstrip()[-1:].isalnum() and not ends_open(t, shared.value) for t in batch["text"]]]
+    asking, following = near_copies(texts)
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingler()
         for batch in batches:
             found = []
             for mark, own, whole in zip(batch["mark"], batch["own"], batch["whole"]):
-                a, b = shingles(own), shingles(whole)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if both < SIMILAR * (len(a) + len(b) - both):
-                    continue
                 end = alignment_end(own, whole)
-                if end is None or not whole[end:].strip():
+                if end is None or not goes_on(whole, end):
                     continue
-                if whole[end].isalnum():  # within a word
+                a = np.unique(shingles(" ".join(own_words(own)[:-1])))
+                if not len(a) or np.isin(a, shingles(whole)).sum() >= SIMILAR * len(a):
                     found.append(mark)
             yield pd.DataFrame({"mark": pd.Series(found, dtype="object")})
 
-    def verified(pairs: DataFrame, asking: DataFrame) -> DataFrame:
-        both = (
-            pairs.join(asking.withColumnRenamed("text", "own"), "mark")
-            .join(texts.select(F.col("mark").alias("other"), F.col("text").alias("whole")), "other")
-            .where("length(own) < length(whole)")
-            .select("mark", "own", "whole")
+    def verified(asking: DataFrame, following: DataFrame) -> DataFrame:
+        pairs = written(
+            asking.join(following, ["bucket", "key"]).where("mark <> other AND startswith(word, part)").select("mark", "other").distinct()
+        )
+        ends = pairs.select("mark").union(pairs.select(F.col("other").alias("mark"))).distinct()
+        once = written(texts.join(ends, "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text")))
+        both = pairs.join(once.withColumnRenamed("text", "own"), "mark").join(
+            once.select(F.col("mark").alias("other"), F.col("text").alias("whole")), "other"
         )
-        return written(both.mapInPandas(aligned, "mark binary").distinct())
+        return written(both.select("mark", "own", "whole").mapInPandas(aligned, "mark binary").distinct())
 
-    crowded = in_shared_buckets(texts)
-    in_company = texts.select("mark", "text").join(crowded.select("mark").distinct(), "mark", "left_semi")
-    asking = written(in_company.mapInPandas(unsettled, "mark binary, text string"))
-    by_hubs = verified(hub_pairs(crowded), asking)
-    rest = asking.join(by_hubs, "mark", "left_anti")
-    return by_hubs.unionByName(verified(continuing_pairs(texts, crowded, rest), rest))
+    first = following.groupBy("bucket", "key", "word").agg(F.max_by("other", F.xxhash64("other")).alias("other"))
+    by_first = verified(asking, first)
+    return by_first.unionByName(verified(asking.join(by_first, "mark", "left_anti"), following))
+
+
+_DOTS = r"(?:\.{2,}|…|\. \. \.)\s*+([\"'”’»)\]]*+)\z"
 
 
 def truncated(documents: DataFrame, ids: list[str], text: Column) -> DataFrame:
-    """``ids..., cut``: whether the text of each row ends within a word, sentence or trailer.
+    """``ids..., cut, by_copy, by_closing``: whether the text of each row ends within a word, sentence or trailer.
 
-    ``cut`` is true also where dots stand for the lost rest, and false for null and blank texts, closed sentences and
-    trailers, rows of tables, date, address and form lines, closing marks and quotations that end in dots. All columns
-    of ``ids`` are kept, repeated rows too; others play no part. Whole texts are read, of any length.
+    ``cut`` is true also where dots stand for the lost rest (but not in a quotation) and where the last character is
+    broken; false for null and blank texts. ``by_copy`` tells that a near-copy goes on, ``by_closing`` that its closing
+    words do not end texts or sentences. All columns of ``ids`` are kept, repeated rows too; others play no part. Whole
+    texts are read, of any length; a text of fewer than five words has no near-copies. An empty table gives none.
 
     Closing words are counted over different texts, so that copies of one text can't make its last line an ending.
 
-    Scale: copies of a text are reduced to one, in a table written once; of a bucket's texts only those are paired that may
-    go on alike.
+    Scale: two passes over the texts by built-in expressions and one in Python, none of which shuffles texts; only those
+    of pairs are joined.
     """
-    wanted = documents.select(*[F.col(f"`{c}`").alias(f"id{i}") for i, c in enumerate(ids)], text.alias("text"))
-    texts = written(distinct_texts(wanted))
-    closings = closing_counts(texts)
-    copies = cut_by_copies(texts, closings)
-    shared = documents.sparkSession.sparkContext.broadcast(closings)
+    wanted = documents.select(*[F.col(f"`{c}`").alias(f"id{i}") for i, c in enumerate(ids)], text.alias("text")).withColumn("mark", F.unhex(F.md5("text")))
+    texts = wanted.select("mark", "text").where("trim(text) <> ''")
+    shared = documents.sparkSession.sparkContext.broadcast(terminality.learn(texts))
 
     @F.pandas_udf("boolean")
-    def opened(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([ends_open(t, shared.value) for t in texts], dtype="bool")
-
-    # scored before the join, so that texts are not shuffled
-    scored = wanted.select(*[f"id{i}" for i in range(len(ids))], _mark(F.col("text")).alias("mark"), opened("text").alias("open"))
-    judged = scored.join(copies.select("mark", F.lit(True).alias("early")), "mark", "left")
-    return judged.select(*[F.col(f"id{i}").alias(c) for i, c in enumerate(ids)], (F.col("open") | F.coalesce("early", F.lit(False))).alias("cut"))
+    def opened(closings: pd.Series, word: pd.Series) -> pd.Series:
+        learned = shared.value
+        return pd.Series([len(c) > 0 and learned.is_open(c, w, LEAST) for c, w in zip(closings, word)], dtype="bool")
+
+    copies = cut_by_copies(texts)
+    bare = F.regexp_replace("text", r"\s++\z", "")
+    # all that is needed of a text's end is taken before Python and the join, so that texts are not sent or shuffled
+    told = terminality.with_closings(wanted.withColumn("end", F.right(bare, F.lit(80))), "text").withColumns(
+        {
+            "blank": F.coalesce(F.trim("end") == "", F.lit(True)),
+            "after": F.when(F.col("end").rlike(_DOTS), F.regexp_extract("end", _DOTS, 1)),
+            "closings": F.flatten(F.transform("closings", terminality._slots)),
+            "word": F.when(F.col("end").rlike(r"[\p{L}\p{N}_]\.\z"), terminality._slots(terminality.form(F.element_at(F.split("end", r"\s"), -1)))),
+        }
+    )
+    told = told.select(*[f"id{i}" for i in range(len(ids))], "mark", "blank", "after", F.endswith("end", F.lit(_BROKEN)).alias("broken"), "closings", "word")
+    by_closing = (
+        F.when(F.col("blank"), False)
+        .when(F.col("broken"), True)
+        .when(F.col("after").isNotNull(), ~F.left("after", F.lit(1)).isin(*"\"'”’»"))
+        .otherwise(opened("closings", "word"))
+    )
+    judged = told.withColumn("by_closing", by_closing).join(copies.select("mark", F.lit(True).alias("by_copy")), "mark", "left")
+    by_copy = F.coalesce("by_copy", F.lit(False))
+    return judged.select(*[F.col(f"id{i}").alias(c) for i, c in enumerate(ids)], (by_copy | F.col("by_closing")).alias("cut"), by_copy.alias("by_copy"), "by_closing")

@@ -1,109 +1,128 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from strataleaf.llm import terminality
 from strataleaf.llm import truncation as T
 
-WORDS = [f"word{i}" for i in range(300)]
-NONE = T.Closings()
+WORDS = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("ber", "dow", "lin", "mast", "ner")]
 
 
 def prose(rng, n):
     return " ".join(" ".join(rng.choice(WORDS) for _ in range(8)).capitalize() + "." for _ in range(n))
 
 
-def test_closings():
-    whole = [
-        "It ends.", "Who keeps it?", "结束。", "(Source: P.A. 90-1, eff. 1-2-30.)", "x\nTotal           5918", "x\nEffective September 18, 2034", "x\nEND OF ACT", "x\nPosted at a.example.org/notes/7413",
-        "x\nForm 27-A", "x\n[end of text]", "x\n* * *", 'It reads "to be filled in by the office..."', "The words “once per quarter” occur.", "See also the rules, etc.", "File 123456.", "| a | 1 |", "", "  \n", None,
-    ]
-    cut = ["The holder must", "the hold", "It is kept, ", "The rest ...", "The rest of i…", "The rest. [...]", "(Source: P.A. 10", "(Source: P.A.", "no sooner than 363", "x\nWrite to a@b.example", "It ends �", "(a) The fee; (b", "by the office of", "x\nEffective Sept"]
-    assert [t for t in whole if T.ends_open(t, NONE)] == []
-    assert [t for t in cut if not T.ends_open(t, NONE)] == []
+ENDINGS = [
+    "", "\n(Source: P.A. {n}-{n}, eff. 1-2-{n}.)", "\nTotal           {n}{n}", "\nEffective September 18, 20{n}", "\nEND OF ACT", "\nPosted at a.example.org/notes/{n}{n}",
+    "\nForm {n}-A", "\n[end of text]", "\n* * *", ' It reads "to be filled in by the office..."', " See also the rules, etc.", " Who keeps it?",
+]
 
 
-def test_learned_closings(spark):
-    rows = [f"By Pub. 12 the holder files. Number {i} holds.\nfiled as given" for i in range(40)] + ["a b c"]
-    counts = T.closing_counts(spark.createDataFrame([(t,) for t in rows], "text string"))
-    assert counts.texts == 41
-    assert not T.ends_open("It holds.\nfiled as given", counts)  # ends many texts
-    assert T.ends_open("It holds.\nfiled as", counts)
-    assert T.ends_open("It is kept under Pub.", counts) and not T.ends_open("The holder files.", counts)
+def corpus(rng, n):
+    """Texts with many kinds of ends; every tenth is cut at any place: ``[(text, cut)]``."""
+    out = []
+    for i in range(n):
+        text = prose(rng, rng.randint(3, 9)) + rng.choice(ENDINGS).format(n=rng.randint(10, 99))
+        if i % 10 == 0:
+            at = rng.randint(40, len(text) - 40)
+            while text[at - 1] in ". \n?" or "\nEND" in text[at - 8 : at]:
+                at -= 1
+            out.append((text[:at], True))
+        else:
+            out.append((text, False))
+    return out
 
 
-def test_near_copies_against_brute_force(spark):
-    rng = random.Random(8)
-    texts = []
-    for _ in range(60):
-        t = prose(rng, 30)
-        texts += [t, t.replace(rng.choice(WORDS), "changed")]
+def test_closing_words_are_learned(spark):
+    rows = corpus(random.Random(3), 1500)
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "id int, text string")
+    got = {r.id for r in T.truncated(df, ["id"], F.col("text")).where("by_closing").collect()}
+    want = {i for i, (_, cut) in enumerate(rows) if cut}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
+def test_what_is_learned_decides(spark):
+    rng = random.Random(6)
+    texts = [t for t, _ in corpus(rng, 600)] + [f"{prose(rng, 3)} The holder files it by Pub. {i} of the year. Number {i} holds.\nfiled as given" for i in range(60)]
     df = spark.createDataFrame([(str(i).encode(), t) for i, t in enumerate(texts)], "mark binary, text string")
-    got = {frozenset((bytes(r.mark), bytes(r.other))) for r in T.near_copy_pairs(df).collect()}
-    sets = [set(T.shingles(t).tolist()) for t in texts]
-    for i in range(len(texts)):
-        for j in range(i):
-            if texts[i] != texts[j] and len(sets[i] & sets[j]) >= T.SIMILAR * len(sets[i] | sets[j]):
-                assert frozenset((str(i).encode(), str(j).encode())) in got
-
-
-def test_cut_copies_are_found_by_alignment(spark):
-    rng = random.Random(5)
-    rows, want = [], set()
-    for i in range(40):
-        t = prose(rng, 40) + f"\nTotal           {rng.randint(1000, 9999)}"
-        rows.append((2 * i, t, "x"))
-        rows.append((2 * i + 1, t[:-2], "x"))  # ends like a row of a table, within its number
-        want.add(2 * i + 1)
-        rows.append((1000 + i, t[: t.rindex(".") + 1], "x"))  # ends with a sentence
-    df = spark.createDataFrame(rows, "id int, text string, mark string")  # a clashing name
-    got = {r.id for r in T.truncated(df, ["id"], F.col("text")).where("cut").collect()}
-    assert want <= got and not any(i >= 1000 for i in got) and not any(i % 2 == 0 for i in got)
+    learned = terminality.learn(df)
+    assert learned.texts == len(texts) and 0 < learned.cut < 0.5
+
+    def is_open(text):
+        row = terminality.with_closings(spark.createDataFrame([(text,)], "text string"), "text").select(
+            F.flatten(F.transform("closings", terminality._slots)).alias("c"), terminality._slots(terminality.form(F.element_at(F.split("text", r"\s"), -1))).alias("w")
+        ).first()
+        return learned.is_open(list(row.c), list(row.w) if text.endswith(".") else None, T.LEAST)
+
+    assert not is_open("It holds.\nfiled as given") and is_open("It holds.\nfiled a")
+    assert is_open("The holder files it by Pub.") and not is_open("Number 7 holds.")
+    assert is_open("The holder files")
+
+
+def cut_copies(rng, families, size):
+    """Families of texts that share an opening of about twelve words; of each text a copy with a word changed, cut at 30 to
+    95 % of its length: ``{id: text}``, those cut from 100000."""
+    out = {}
+    for f in range(families):
+        opening = prose(rng, 2)[:-1]
+        for k in range(size):
+            i = f * size + k
+            out[i] = f"{opening} {prose(rng, rng.randint(12, 30))}"
+            words = out[i].split()
+            at = rng.randint(20, 30)
+            words[at] = "changed"
+            text = " ".join(words)
+            end = int(len(text) * rng.uniform(0.3, 0.95))
+            while not (text[end - 1].isalpha() and (text[end].isalpha() or text[end + 1].islower())):
+                end += 1
+            out[100_000 + i] = text[:end]
+    return out
+
+
+def test_cut_copies_of_shared_openings_are_found_by_alignment(spark):
+    texts = cut_copies(random.Random(8), 3, 60)
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "id int, text string")
+    got = {r.id for r in T.truncated(df, ["id"], F.col("text")).where("by_copy").collect()}
+    assert len([i for i in got if i >= 100_000]) >= 0.9 * 180 and not [i for i in got if i < 100_000]
+
+
+def test_no_exact_cut_of_a_large_group_is_lost(spark):
+    """Forms that differ in one number, and some cut within theirs, against brute force."""
+    rng = random.Random(4)
+    body = prose(rng, 25)
+    texts = {i: f"{body}\nTotal           {rng.randint(10_000_000, 99_999_999)}" for i in range(400)}
+    texts |= {1000 + i: texts[i][:-3] for i in range(80)}
+    want = {i for i, a in texts.items() if any(len(b) > len(a) and b.startswith(a) for b in texts.values())}
+    df = spark.createDataFrame(list(texts.items()), "id int, text string")
+    assert {r.id for r in T.truncated(df, ["id"], F.col("text")).where("by_copy").collect()} == want
+
+
+def test_shingles_and_bands():
+    shingle = T.Shingler()
+    words = [f"w{i}" for i in range(200)]
+    a, b = T.bands(shingle(" ".join(words))), T.bands(shingle(" ".join(words[:60])))
+    assert [len(x) for x in a] == [1, T.BANDS, T.BANDS, T.BANDS] and a[:3] == b
+    assert len(shingle("one two")) == 0 and T.bands(shingle("one two")) == []
+    assert len(np.unique([k for x in a for k in x])) == 1 + 3 * T.BANDS
 
 
 def test_alignment_end():
     whole = "one two three four five six seven eight nine ten eleven"
-    assert T.alignment_end("one two three fo", whole) == 16
-    assert T.alignment_end("one changed three four five s", whole) == whole.index("six") + 1
-    assert T.alignment_end("something else", whole) is None
+    assert T.alignment_end("one two three fo", whole) == 16 and T.goes_on(whole, 16)
+    assert T.alignment_end("one changed three four five six s", whole) == whole.index("seven") + 1
+    assert T.alignment_end("something else", whole) is None and T.alignment_end("one", whole) is None
+    assert not T.goes_on("It ends. More", 8) and not T.goes_on("a b\nNext", 3) and T.goes_on("a b\nnext", 3) and T.goes_on("a b c", 3)
+    assert not T.goes_on("a b  ", 3)
 
 
 def test_odd_rows_and_hot_copies(spark):
-    rows = [(i, "Ends within the wor", "s") for i in range(50)] + [(100, None, "s"), (101, "", None), (102, " ", "s"), (103, "word " * 100_000, "s"), (104, "One.", None)]
-    out = T.truncated(spark.createDataFrame(rows, "id int, text string, source string"), ["id", "source"], F.col("text")).collect()
-    assert len(out) == len(rows) and {r.id for r in out if r.cut} == {*range(50), 103}
+    rng = random.Random(2)
+    rows = [(i, "Ends of some sentence within the wor", "s", "x") for i in range(50)]
+    rows += [(100, None, "s", "x"), (101, "", None, "x"), (102, " ", "s", "x"), (103, "word " * 100_000, "s", "x"), (104, "It is over here.", None, "x")]
+    rows += [(105, "It goes ...", "s", "x"), (106, 'It reads "on..."', "s", "x"), (107, "It is br�", "s", "x")]
+    rows += [(1000 + i, t, "s", "x") for i, (t, _) in enumerate(corpus(rng, 300))]
+    out = T.truncated(spark.createDataFrame(rows, "id int, text string, source string, mark string"), ["id", "source"], F.col("text")).collect()
+    assert len(out) == len(rows) and {r.id for r in out if r.cut and r.id < 1000} == {*range(50), 103, 105, 107}
     empty = spark.createDataFrame([], "id int, text string")
     assert T.truncated(empty, ["id"], F.col("text")).count() == 0
-
-
-def forms(rng, n, cut):
-    """Texts of one template that differ in a last number, and some cut within theirs: ``{id: text}``, cut ones from 1000."""
-    body = prose(rng, 25)
-    numbers = rng.sample(range(10_000_000, 99_999_999), n)
-    whole = {i: f"{body}\nTotal           {number}" for i, number in enumerate(numbers)}
-    return whole | {1000 + i: whole[i][:-3] for i in range(cut)}
-
-
-def test_cut_texts_of_a_large_group_of_forms_against_brute_force(spark):
-    texts = forms(random.Random(3), 400, 80)
-    want = {i for i, a in texts.items() if any(len(b) > len(a) and b.startswith(a) and b[len(a)].isalnum() for b in texts.values())}
-    assert want == set(range(1000, 1080))
-    df = spark.createDataFrame(list(texts.items()), "id int, text string")
-    assert {r.id for r in T.truncated(df, ["id"], F.col("text")).where("cut").collect()} == want
-
-
-def test_pairs_of_a_large_group_of_forms_against_brute_force(spark):
-    rng = random.Random(4)
-    head, tail = prose(rng, 12), prose(rng, 12)
-    whole = [f"{head} {tail} The holder {' '.join(rng.choice(WORDS) + str(rng.randint(100, 999)) for _ in range(4))} files." for _ in range(150)]
-    # cut within the last of the words that differ, with a word changed before
-    cut = [t[: t.rindex(" files") - 2].replace(head.split()[40], "changed", 1) for t in whole[:40]]
-    df = spark.createDataFrame([(str(i).encode(), t) for i, t in enumerate(whole + cut)], "mark binary, text string")
-    got = {(bytes(r.mark), bytes(r.other)) for r in T.near_copy_pairs(df).collect()}
-    sets = [set(T.shingles(t).tolist()) for t in whole + cut]
-    want = set()
-    for i in range(150, 190):
-        for j in range(150):
-            end = T.alignment_end(cut[i - 150], whole[j])
-            if len(sets[i] & sets[j]) >= T.SIMILAR * len(sets[i] | sets[j]) and end is not None and whole[j][end].isalnum():
-                want.add((str(i).encode(), str(j).encode()))
-    assert len(want) >= 40 and want <= got
