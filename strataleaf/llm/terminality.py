@@ -46,6 +46,11 @@ def shaped(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumns({"shape": own, **{f"n{i}": n for i, n in enumerate(letters)}}).drop("s0", "s1", "s2")
 
 
+def bare(text: Column | str) -> Column:
+    """A text without the white space at its end."""
+    return F.rtrim(text if isinstance(text, Column) else F.col(text), F.lit(" \t\r\n\x0b\x0c\x85\xa0\u2028\u2029\u3000"))
+
+
 def _open(beginning: Column) -> Column:
     """``(`` where more brackets were opened than closed, else empty."""
     opened = F.length(beginning) - F.length(F.translate(beginning, "(", ""))
@@ -68,7 +73,7 @@ def _slots(closing: Column) -> Column:
 
 def with_closings(rows: DataFrame, text: str) -> DataFrame:
     """``rows`` with ``closings``, those of the column ``text``, most telling first."""
-    line = F.substring_index(F.translate(F.regexp_replace(text, r"\s++\z", ""), "\r", "\n"), "\n", -1)
+    line = F.substring_index(F.translate(bare(text), "\r", "\n"), "\n", -1)
     rows = shaped(rows.withColumn("line", line), "line").withColumn("words", F.split("shape", " "))
     short = F.size("words") <= LINE_WORDS
     kind, beginning = F.when(short, "line").otherwise("tail"), F.when(short, F.col("shape")).otherwise(F.element_at("words", -1))
@@ -129,7 +134,7 @@ def learn(texts: DataFrame) -> Terminality:
     Null and blank texts count for nothing; texts of any length are counted whole. Of equal texts one counts as an end.
     """
     out = Terminality()
-    texts = texts.where("text IS NOT NULL").withColumn("text", F.regexp_replace("text", r"\s++\z", "")).where("text <> ''")
+    texts = texts.where("text IS NOT NULL").withColumn("text", bare("text")).where("text <> ''")
     line = texts.select(F.explode(F.split("text", r"[\r\n]++")).alias("line"))
     line = shaped(line, "line").withColumn("words", F.split("shape", " "))
     first = F.array_join(F.slice("words", 1, LINE_WORDS), " ")

@@ -32,7 +32,7 @@ GROWTH = 3
 LEAST = 0.05
 #: Words before a text's end that are aligned.
 TAIL = 24
-#: Characters of a last, perhaps cut, word that are part of its key, and flags of the words before it that are sought.
+#: Characters of a last, perhaps cut, word that are part of its key, and flags of the two words before it that are sought.
 HEAD, FLAGS = 3, 1 << 20
 #: Shingles that are hashed at once.
 CHUNK = 1 << 14
@@ -66,41 +66,71 @@ class Shingler:
         known = self.known
         if len(known) > 200_000:
             known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = hash_of(w)
-        hashes = np.array([known[w] for w in words], "uint64")
+        try:
+            hashes = np.array([known[w] for w in words], "uint64")
+        except KeyError:
+            known.update({w: hash_of(w) for w in {*words} - known.keys()})
+            hashes = np.array([known[w] for w in words], "uint64")
         n = len(words) - SHINGLE + 1
         with np.errstate(over="ignore"):
             found = sum(hashes[k : k + n] * _PLACES[k] for k in range(SHINGLE))
             return found ^ (found >> np.uint64(31))
 
 
-def bands(shingles: np.ndarray) -> list[list[int]]:
-    """The hashes of the bands of each banded beginning of a text, the shortest first."""
-    out: list[list[int]] = []
-    least = np.full(BANDS * ROWS, np.iinfo("uint64").max, "uint64")
-    at, level, words = 0, 0, SHINGLE
-    while len(shingles) >= words - SHINGLE + 1:
-        stop = words - SHINGLE + 1
-        with np.errstate(over="ignore"):
-            for a in range(at, stop, CHUNK):
-                mixed = shingles[a : min(stop, a + CHUNK), None] * _SEEDS + _SHIFTS
-                least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(0))
-            # of one shingle all bands say the same; no two bands or beginnings share a bucket
-            kept = 1 if stop == 1 else BANDS
-            keys = (least.reshape(BANDS, ROWS)[:kept] * _WEIGHTS).sum(1) + np.arange(kept, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level * 0x632BE59B)
-        out.append((keys ^ (keys >> np.uint64(29))).astype("int64").tolist())
-        at, level, words = stop, level + 1, words * GROWTH
-    return out
+def bands(texts: list[np.ndarray]) -> Iterator[list[list[int]]]:
+    """Of the shingles of each text the hashes of the bands of its banded beginnings, the shortest first."""
+    group: list[np.ndarray] = []
+    size = 0
+    for shingles in texts:
+        group.append(shingles)
+        size += len(shingles)
+        if size >= CHUNK:
+            yield from _bands(group)
+            group, size = [], 0
+    if group:
+        yield from _bands(group)
+
+
+def _stops(n: int) -> list[int]:
+    """Where the banded beginnings of a text with ``n`` shingles end."""
+    stops, words = [], SHINGLE
+    while n >= words - SHINGLE + 1:
+        stops.append(words - SHINGLE + 1)
+        words *= GROWTH
+    return stops
+
+
+def _bands(group: list[np.ndarray]) -> Iterator[list[list[int]]]:
+    stops = [_stops(len(x)) for x in group]
+    kept = np.concatenate([x[: s[-1]] for x, s in zip(group, stops)])
+    offsets = np.cumsum([0, *(s[-1] for s in stops)])
+    starts = np.concatenate([o + np.array([0, *s[:-1]]) for o, s in zip(offsets, stops)])
+    depth = np.concatenate([np.arange(len(s)) for s in stops])
+    least = np.empty((len(starts), BANDS * ROWS), "uint64")
+    with np.errstate(over="ignore"):
+        for f in range(BANDS * ROWS):  # one function at a time, so that memory doesn't grow with their number
+            mixed = kept * _SEEDS[f] + _SHIFTS[f]
+            least[:, f] = np.minimum.reduceat(mixed ^ (mixed >> np.uint64(32)), starts)
+        for d in range(1, depth.max() + 1):  # a beginning holds the shorter ones
+            at = np.flatnonzero(depth == d)
+            least[at] = np.minimum(least[at], least[at - 1])
+        # no two bands or beginnings share a bucket
+        keys = (least.reshape(-1, BANDS, ROWS) * _WEIGHTS).sum(2) + np.arange(BANDS, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15) + depth[:, None].astype("uint64") * np.uint64(0x632BE59B)
+    found = (keys ^ (keys >> np.uint64(29))).astype("int64").tolist()
+    at = 0
+    for s in stops:
+        # of one shingle all bands say the same
+        yield [found[at][:1], *found[at + 1 : at + len(s)]]
+        at += len(s)
 
 
 def closing_key(before: str, word: str) -> int:
+    """Of the two words before the last, and the last as far as ``HEAD`` characters."""
     return hash_of(before + "\0" + word[:HEAD]) - (1 << 63)
 
 
-def _flag(word: str) -> int:
-    return crc32(word.encode("utf-8", "replace")) % FLAGS
+def _flag(before: str) -> int:
+    return crc32(before.encode("utf-8", "replace")) % FLAGS
 
 
 def own_words(text: str) -> list[str]:
@@ -117,23 +147,30 @@ def banded(texts: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler()
         for batch in batches:
-            out = []
+            out, held = [], []
             for mark, text in zip(batch["mark"], batch["text"]):
-                found = bands(shingles(text))
                 words = own_words(text)
-                if found and len(words) > 1:
-                    out.append((mark, [b for x in found[:-1] for b in x], found[-1], closing_key(*words[-2:]), words[-1], _flag(words[-2])))
-            yield pd.DataFrame(out, columns=["mark", "low", "top", "key", "part", "flag"])
+                if len(words) > 2 and len(own := shingles(text)):
+                    before = " ".join(words[-3:-1])
+                    out.append((mark, closing_key(before, words[-1]), words[-1], _flag(before)))
+                    held.append(own)
+            low, top = [], []
+            for found in bands(held):
+                low.append([b for x in found[:-1] for b in x])
+                top.append(found[-1])
+            rows = pd.DataFrame(out, columns=["mark", "key", "part", "flag"])
+            rows["low"], rows["top"] = pd.Series(low, dtype="object"), pd.Series(top, dtype="object")
+            yield rows[["mark", "low", "top", "key", "part", "flag"]]
 
     return written(texts.mapInPandas(rows, "mark binary, low array<bigint>, top array<bigint>, key bigint, part string, flag int"))
 
 
 def near_copies(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of a table ``mark, text``: the texts that ask, ``mark, bucket, key, part``, and those that have what they ask for,
-    ``other, bucket, key, word``: in one bucket, with the last word but one before a word that begins like the last.
+    ``other, bucket, key, word``: in one bucket, with the two words before the last before a word that begins like the last.
 
-    Wherever an alignment ends within or after a text's last word, with the word before it matched too, the other text is
-    among these; of a bucket of any size only texts meet that can go on alike.
+    Wherever an alignment ends within or after a text's last word, with the two words before it matched too, the other text
+    is among these; of a bucket of any size only texts meet that can go on alike.
 
     Scale: one row a text is written; buckets are counted by an aggregate that combines before the shuffle; of the words
     sought a table of ``FLAGS`` flags is sent, so that others are not shuffled.
@@ -162,9 +199,9 @@ def near_copies(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             for mark, text in zip(batch["mark"], batch["text"]):
                 words = text.split()
                 found = set()
-                for i, (before, word) in enumerate(zip(words, words[1:])):
-                    if flags[_flag(before)]:
-                        found.add((before, word if i + 2 < len(words) else word[:-1]))  # after the last word nothing goes on
+                for i, (first, second, word) in enumerate(zip(words, words[1:], words[2:])):
+                    if flags[_flag(before := first + " " + second)]:
+                        found.add((before, word if i + 3 < len(words) else word[:-1]))  # after the last word nothing goes on
                 keys = {(closing_key(before, word[:n]), word) for before, word in found for n in range(1, min(HEAD, len(word)) + 1)}
                 rows += ((mark, key, word) for key, word in keys)
             yield pd.DataFrame(rows, columns=["other", "key", "word"])
@@ -269,9 +306,8 @@ def truncated(documents: DataFrame, ids: list[str], text: Column) -> DataFrame:
         return pd.Series([len(c) > 0 and learned.is_open(c, w, LEAST) for c, w in zip(closings, word)], dtype="bool")
 
     copies = cut_by_copies(texts)
-    bare = F.regexp_replace("text", r"\s++\z", "")
     # all that is needed of a text's end is taken before Python and the join, so that texts are not sent or shuffled
-    told = terminality.with_closings(wanted.withColumn("end", F.right(bare, F.lit(80))), "text").withColumns(
+    told = terminality.with_closings(wanted.withColumn("end", F.right(terminality.bare("text"), F.lit(80))), "text").withColumns(
         {
             "blank": F.coalesce(F.trim("end") == "", F.lit(True)),
             "after": F.when(F.col("end").rlike(_DOTS), F.regexp_extract("end", _DOTS, 1)),

@@ -101,9 +101,9 @@ def test_no_exact_cut_of_a_large_group_is_lost(spark):
 def test_shingles_and_bands():
     shingle = T.Shingler()
     words = [f"w{i}" for i in range(200)]
-    a, b = T.bands(shingle(" ".join(words))), T.bands(shingle(" ".join(words[:60])))
+    a, b = T.bands([shingle(" ".join(words)), shingle(" ".join(words[:60]))])
     assert [len(x) for x in a] == [1, T.BANDS, T.BANDS, T.BANDS] and a[:3] == b
-    assert len(shingle("one two")) == 0 and T.bands(shingle("one two")) == []
+    assert len(shingle("one two")) == 0 and list(T.bands([])) == []
     assert len(np.unique([k for x in a for k in x])) == 1 + 3 * T.BANDS
 
 
