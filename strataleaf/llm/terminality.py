@@ -82,7 +82,7 @@ def with_closings(rows: DataFrame, text: str) -> DataFrame:
 
 
 #: A word with a full stop at its end, after which its sentence ends, or goes on.
-_ENDS = r"(?<!\S)(\S*+)(?<=[\p{L}\p{N}_]\.)(?=\s*\z|\h*[\r\n]|\s+[A-Z(\"*\[“«]|\s+[^\x00-\x7F])"
+_ENDS = r"(?<!\S)(\S*+)(?<=[\p{L}\p{N}_]\.)(?=\h*[\r\n]|\s+[A-Z(\"*\[“«]|\s+[^\x00-\x7F])"
 _GOES_ON = r"(?<!\S)(\S*+)(?<=[\p{L}\p{N}_]\.)(?=\h+[!-~&&[^A-Z(\"*\[]])"
 
 
@@ -116,10 +116,10 @@ class Terminality:
         return float(found)
 
     def after_stop(self, slots: list[int]) -> bool | None:
-        """Whether a sentence goes on after this stopped word; null where others that say so are no more than those that
-        don't. The text itself is not counted."""
+        """Whether a sentence goes on after this stopped word; null where as often as not. Ends of texts are not counted,
+        as they may be cut."""
         ends, goes_on = self.stops[slots].min(0)
-        return True if goes_on > ends else False if ends - 1 > goes_on else None
+        return None if ends == goes_on else bool(goes_on > ends)
 
     def is_open(self, slots: list[int], word: list[int] | None, least: float) -> bool:
         """Whether a text with these closings was cut: by its last word if that has a full stop, else by the least
