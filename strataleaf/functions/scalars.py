@@ -94,11 +94,16 @@ def is_published(status: Column, body: Column) -> Column:
     return F.coalesce((status == 200) & ~is_placeholder(body) & (F.char_length(body) > 500), F.lit(False))
 
 
+#: The beginning of a refusal's body that is searched for signs of throttling: so much of it is read, here in characters.
+REFUSAL = 4096
+
+
 def is_throttling(status: Column, retry_after: Column, body: Column) -> Column:
+    """Whether an answer asks to stop fetching; a refusal whose body can't be read (null) does."""
     return (
         F.coalesce(status.isin(*THROTTLING_STATUS), F.lit(False))
         | (F.coalesce(retry_after, F.lit("")) != "")
-        | F.coalesce((status == 403) & F.substring(body, 1, 4096).rlike(THROTTLED), F.lit(False))
+        | F.coalesce((status == 403) & F.coalesce(F.substring(body, 1, REFUSAL).rlike(THROTTLED), F.lit(True)), F.lit(False))
     )
 
 
@@ -161,20 +166,20 @@ def unescape_href(href: Column) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    """``1h 02m``, ``3m 04s`` or ``5s``; negative and null as ``-``."""
-    s = F.floor(seconds).cast("long")
+    """``1h 2m``, ``3m 4s`` or ``5s``; a negative one is ``0s``, null stays null."""
+    s = F.greatest(F.floor(seconds), F.lit(0)).cast("long")
     hours, minutes, rest = F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60))
     return (
-        F.when(s.isNull() | (s < 0), "-")
-        .when(s >= 3600, F.format_string("%dh %02dm", hours, minutes))
-        .when(s >= 60, F.format_string("%dm %02ds", minutes, rest))
+        F.when(seconds.isNull(), F.lit(None).cast("string"))
+        .when(s >= 3600, F.format_string("%dh %dm", hours, minutes))
+        .when(s >= 60, F.format_string("%dm %ds", minutes, rest))
         .otherwise(F.format_string("%ds", rest))
     )
 
 
 def percent(part: Column, whole: Column) -> Column:
-    """One decimal, rounded half to even on the exact value of the double, which Java's own formatting is not."""
-    return F.when(whole > 0, F.concat(F.replace(F.format_number(100.0 * part / whole, 1), F.lit(","), F.lit("")), F.lit("%"))).otherwise("-")
+    """One decimal, rounded half to even on the exact value of the double, which Java's own formatting is not; ``n/a`` of none."""
+    return F.when(whole > 0, F.concat(F.replace(F.format_number(100.0 * part / whole, 1), F.lit(","), F.lit("")), F.lit("%"))).otherwise("n/a")
 
 
 def wilson(matched: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

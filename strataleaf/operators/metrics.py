@@ -51,14 +51,15 @@ def assembly_availability(cases: DataFrame) -> DataFrame:
 
 
 def headline(cases: DataFrame) -> DataFrame:
-    """AG4, AG5, AG13: the run in one row: counts, three match rates and the Wilson interval of the attempted one."""
+    """AG4, AG5, AG13: the run in one row: counts, four match rates and the Wilson interval of the attempted one."""
     gone = excluded(F.col("classification"))
     structural = F.col("classification").isin("REPEALED_STUB", "RENUMBERED")
     matched = F.coalesce(F.col("normalized_match"), F.lit(False)) & ~gone
-    rate = lambda n: F.coalesce(F.try_divide(F.col("matched"), n), F.lit(0.0))
+    rate = lambda n, of="matched": F.coalesce(F.try_divide(F.col(of), n), F.lit(0.0))
     counted = cases.agg(
         F.count(F.lit(1)).alias("sampled"),
         F.count_if(~gone).alias("attempted"),
+        F.count_if(gone).alias("excluded_total"),
         F.count_if(F.col("classification") == "UNRECONSTRUCTABLE").alias("unreconstructable"),
         F.count_if(F.col("classification") == "ACT_NOT_ONLINE").alias("not_online"),
         F.count_if(matched).alias("matched"),
@@ -74,6 +75,7 @@ def headline(cases: DataFrame) -> DataFrame:
         {
             "rate_fixed": rate(F.col("sampled")),
             "rate_attempted": rate(F.col("attempted")),
+            "rate_exact": rate(F.col("attempted"), "exact"),
             "rate_reachable": rate(F.col("attempted") - F.col("structural")),
             "wilson_low": low,
             "wilson_high": high,
@@ -107,8 +109,9 @@ def floor_probe(probes: DataFrame, mirror: DataFrame, key: str, published: Colum
     """
     seen = probes.join(mirror.select(key, published.alias("published")), key)
     expected = S.assembly_of(F.col(key)) >= floor
-    said = F.when(F.col("published"), "published below the floor").otherwise("not published above the floor")
-    told = F.when(F.col("published") != expected, F.struct(F.col("seq"), F.concat(F.col(key), F.lit(": "), said).alias("told")))
+    # fixed values: the two messages
+    said = F.when(F.col("published"), f" is available, but predates the {floor}rd GA").otherwise(f" is unavailable, but is at or above the {floor}rd GA")
+    told = F.when(F.col("published") != expected, F.struct(F.col("seq"), F.concat(F.col(key), said).alias("told")))
     return seen.agg(F.count(F.lit(1)).alias("probed"), F.transform(F.array_sort(F.collect_list(told)), lambda x: x["told"]).alias("disagreements"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,34 @@ def overlaps(versions: DataFrame, key: list[str], id_: str, width_days: int = 30
     return both.select(*key, F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
 
 
+def overlapped(versions: DataFrame, key: list[str], id_: str) -> DataFrame:
+    """One row for each version that begins while an earlier one of its key still holds, with the version that then
+    reaches furthest (``holds``, ``until``; a null end is open and reaches furthest of all). Each version is told once,
+    however many it overlaps; versions without a beginning overlap none.
+
+    One window a key over narrow rows; ties begin in the order of ``id_``.
+    """
+    before = Window.partitionBy(*key).orderBy("valid_from", id_).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.struct(F.col("valid_to").isNull().alias("open"), F.col("valid_to").alias("until"), F.col(id_).alias("holds"))
+    rows = versions.where("valid_from IS NOT NULL").select(*key, id_, "valid_from", F.max(reach).over(before).alias("reach"))
+    met = rows.where(F.col("reach.open") | (F.col("reach.until") > F.col("valid_from")))
+    return met.select(*key, id_, "valid_from", "reach.holds", "reach.until")
+
+
+def replayed(steps: DataFrame, key: list[str], seq: str, operation: str, body: str, last: int) -> DataFrame:
+    """``key..., replayed, stands, agrees, steps``: what comes of the operations in the order of ``seq``, from nothing.
+
+    ``repeal`` leaves nothing; every other operation puts its text in place of what was there, or leaves that where it
+    brings none. ``stands`` is the text at ``last``, null if the section isn't there or has none.
+    """
+    step = F.struct(F.col(seq).alias("seq"), F.col(operation).alias("op"), F.col(body).alias("text"))
+    # one step for each snapshot of a version
+    chain = F.array_sort(F.collect_list(step))
+    fold = F.aggregate("chain", F.lit(None).cast("string"), lambda text, s: F.when(s["op"] == "repeal", F.lit(None).cast("string")).otherwise(F.coalesce(s["text"], text)))
+    out = steps.groupBy(*key).agg(chain.alias("chain"), F.max(F.when(F.col(seq) == last, F.col(body))).alias("stands"), F.count(F.lit(1)).alias("steps"))
+    return out.select(*key, fold.alias("replayed"), "stands", "steps").withColumn("agrees", F.col("replayed").eqNullSafe(F.col("stands")))
+
+
 def contested(effects: DataFrame, key: str, id_: str, near_days: int, width_days: int = 30) -> DataFrame:
     """D3: pairs of effects on one target whose windows overlap or are near, from the same base, with different results."""
     reach = F.date_add(F.col("ends").cast("date"), near_days + 1).cast("timestamp")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,10 +165,10 @@ def assembly_availability(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     f"WITH a AS (SELECT count(*) AS sampled, count(*) FILTER (WHERE NOT {_GONE}) AS attempted, count(*) FILTER (WHERE classification = 'UNRECONSTRUCTABLE') AS unreconstructable, count(*) FILTER (WHERE classification = 'ACT_NOT_ONLINE') AS not_online,"
-    f" count(*) FILTER (WHERE normalized_match AND NOT {_GONE}) AS matched, count(*) FILTER (WHERE exact_match AND NOT {_GONE}) AS exact, count(*) FILTER (WHERE classification IN ('REPEALED_STUB', 'RENUMBERED')) AS structural,"
+    f" count(*) FILTER (WHERE normalized_match AND NOT {_GONE}) AS matched, count(*) FILTER (WHERE exact_match AND NOT {_GONE}) AS exact, count(*) FILTER (WHERE {_GONE}) AS excluded_total, count(*) FILTER (WHERE classification IN ('REPEALED_STUB', 'RENUMBERED')) AS structural,"
     f" count(*) FILTER (WHERE NOT {_GONE} AND carried_amendment_markup) AS markup, count(*) FILTER (WHERE normalized_match AND NOT {_GONE} AND carried_amendment_markup) AS markup_matched,"
     f" count(*) FILTER (WHERE NOT {_GONE} AND added_by_this_act) AS added, count(*) FILTER (WHERE normalized_match AND NOT {_GONE} AND added_by_this_act) AS added_matched FROM {CASES})"
-    " SELECT *, coalesce(matched / nullif(sampled, 0), 0.0)::DOUBLE AS rate_fixed, coalesce(matched / nullif(attempted, 0), 0.0)::DOUBLE AS rate_attempted, coalesce(matched / nullif(attempted - structural, 0), 0.0)::DOUBLE AS rate_reachable,"
+    " SELECT *, coalesce(matched / nullif(sampled, 0), 0.0)::DOUBLE AS rate_fixed, coalesce(matched / nullif(attempted, 0), 0.0)::DOUBLE AS rate_attempted, coalesce(exact / nullif(attempted, 0), 0.0)::DOUBLE AS rate_exact, coalesce(matched / nullif(attempted - structural, 0), 0.0)::DOUBLE AS rate_reachable,"
     " (matched / attempted::DOUBLE + 1.959963984540054 ^ 2 / (2 * attempted) - 1.959963984540054 * sqrt(matched / attempted::DOUBLE * (1 - matched / attempted::DOUBLE) / attempted + 1.959963984540054 ^ 2 / (4 * attempted::DOUBLE * attempted))) / (1 + 1.959963984540054 ^ 2 / attempted) AS wilson_low,"
     " (matched / attempted::DOUBLE + 1.959963984540054 ^ 2 / (2 * attempted) + 1.959963984540054 * sqrt(matched / attempted::DOUBLE * (1 - matched / attempted::DOUBLE) / attempted + 1.959963984540054 ^ 2 / (4 * attempted::DOUBLE * attempted))) / (1 + 1.959963984540054 ^ 2 / attempted) AS wilson_high FROM a"
 )
@@ -208,7 +210,7 @@ _PROBES = [f"{ga:03d}-{serial:04d}" for ga, serial in ((90, 1), (91, 1), (91, 50
     "WITH e AS (SELECT DISTINCT printf('%03d-%04d', regexp_extract(pa_number, '([0-9]+)[^0-9]+([0-9]+)', 1)::INT, regexp_extract(pa_number, '([0-9]+)[^0-9]+([0-9]+)', 2)::INT) AS pa_key FROM enactments),"
     " p AS (SELECT pa_key, row_number() OVER (ORDER BY pa_key) AS seq FROM e), s AS (SELECT p.*, bool_or(withdrawn_at IS NULL) AS published FROM p JOIN enactments n"
     " ON printf('%03d-%04d', regexp_extract(n.pa_number, '([0-9]+)[^0-9]+([0-9]+)', 1)::INT, regexp_extract(n.pa_number, '([0-9]+)[^0-9]+([0-9]+)', 2)::INT) = p.pa_key GROUP BY ALL)"
-    f" SELECT count(*) AS probed, array_to_string(list(pa_key || ': ' || CASE WHEN published THEN 'published below the floor' ELSE 'not published above the floor' END ORDER BY seq) FILTER (WHERE published <> (split_part(pa_key, '-', 1)::INT >= {S.FLOOR_GA})), '; ') AS disagreements FROM s"
+    f" SELECT count(*) AS probed, array_to_string(list(pa_key || CASE WHEN published THEN ' is available, but predates the {S.FLOOR_GA}rd GA' ELSE ' is unavailable, but is at or above the {S.FLOOR_GA}rd GA' END ORDER BY seq) FILTER (WHERE published <> (split_part(pa_key, '-', 1)::INT >= {S.FLOOR_GA})), '; ') AS disagreements FROM s"
 )
 def floor_probe(spark: SparkSession, d: str) -> DataFrame:
     """AG10, JN10: every Act held probed against the floor from which Acts are published."""
@@ -488,7 +490,7 @@ _TIERS = R.oracles["tier_breakdown"]
 
 @R.query(
     f"WITH t AS ({_TIERS}), a AS (SELECT tier, done, total FROM t UNION ALL SELECT NULL, sum(done)::BIGINT, sum(total)::BIGINT FROM t)"
-    " SELECT row_number() OVER (ORDER BY tier NULLS LAST) AS line_no, '| ' || coalesce(tier::VARCHAR, 'all') || ' | ' || done || ' | ' || total || ' | ' || CASE WHEN total > 0 THEN printf('%.1f%%', 100.0::DOUBLE * done / total) ELSE '-' END || ' |' AS line FROM a"
+    " SELECT row_number() OVER (ORDER BY tier NULLS LAST) AS line_no, '| ' || coalesce(tier::VARCHAR, 'all') || ' | ' || done || ' | ' || total || ' | ' || CASE WHEN total > 0 THEN printf('%.1f%%', 100.0::DOUBLE * done / total) ELSE 'n/a' END || ' |' AS line FROM a"
 )
 def status_report(spark: SparkSession, d: str) -> DataFrame:
     """SNK4, ST9: the mirror's state from what is stored, without a run."""
@@ -502,7 +504,7 @@ def limited_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(
-    "SELECT CASE WHEN coalesce(status IN (429, 503, 509), false) OR coalesce(status = 403 AND regexp_matches(substr(body, 1, 4096), '(?i)rate[ -]?limit|too many requests|slow down|temporarily blocked|access denied'), false) THEN 'throttled'"
+    "SELECT CASE WHEN coalesce(status IN (429, 503, 509), false) OR coalesce(status = 403 AND coalesce(regexp_matches(substr(body, 1, 4096), '(?i)rate[ -]?limit|too many requests|slow down|temporarily blocked|access denied'), true), false) THEN 'throttled'"
     " WHEN status = 200 THEN 'store' WHEN status = 304 THEN 'unchanged' WHEN status = 404 THEN 'empty' ELSE 'retry' END AS outcome, status, count(*) AS n FROM responses GROUP BY ALL"
 )
 def fetch_outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -544,6 +546,8 @@ def versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 _AT, _KNOWN = "1997-01-01", "1998-01-01"
+#: Versions that may overlap: those whose end is told by the line item and not by the next version.
+_LASTING = "(SELECT l_partkey AS provision, l_orderkey * 10 + l_linenumber AS id, l_shipdate AS valid_from, CASE WHEN l_quantity < 49 THEN l_shipdate + to_days(l_quantity::INT * 2) END AS valid_to, CASE WHEN l_linestatus = 'O' THEN 'replayed' ELSE 'observed' END AS origin FROM lineitem)"
 
 
 @R.query(
@@ -555,12 +559,17 @@ def as_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(
-    f"WITH v AS (SELECT provision, origin, id, valid_from, coalesce(valid_to, TIMESTAMP '9999-12-31') AS valid_to, known_from, coalesce(known_to, TIMESTAMP '9999-12-31') AS known_to FROM {_VERSIONS})"
-    " SELECT a.provision, a.origin, a.id AS a, b.id AS b FROM v a JOIN v b ON a.provision = b.provision AND a.origin = b.origin AND a.id < b.id AND a.valid_from < b.valid_to AND b.valid_from < a.valid_to AND a.known_from < b.known_to AND b.known_from < a.known_to"
+    f"WITH v AS (SELECT provision, origin, id, valid_from, coalesce(valid_to, TIMESTAMP '9999-12-31') AS valid_to FROM {_LASTING}),"
+    " m AS (SELECT *, max(valid_to) OVER w AS reach FROM v WINDOW w AS (PARTITION BY provision, origin ORDER BY valid_from, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+    " SELECT provision, origin, id FROM m WHERE reach > valid_from"
 )
 def overlapping_versions(spark: SparkSession, d: str) -> DataFrame:
-    """Versions that overlap in both periods, which none should."""
-    return V.overlaps(versions(spark, d), ["provision", "origin"], "id")
+    """Versions that begin while an earlier one of their key still holds; there should be none."""
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("provision"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_linestatus") == "O", "replayed").otherwise("observed").alias("origin"),
+        F.col("l_shipdate").alias("valid_from"), F.when(F.col("l_quantity") < 49, F.col("l_shipdate") + F.make_interval(days=F.col("l_quantity").cast("int") * 2)).alias("valid_to"),
+    )
+    return V.overlapped(rows, ["provision", "origin"], "id").select("provision", "origin", "id")
 
 
 @R.query(
@@ -591,16 +600,20 @@ def typed_operations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(
-    "WITH b AS (SELECT citation, ver, snapshot_no, md5(body) AS body FROM blocks WHERE body IS NOT NULL QUALIFY row_number() OVER (PARTITION BY citation, ver, snapshot_no ORDER BY seen_at DESC, block_id DESC) = 1)"
-    f" SELECT {_CITED} AS citation, ver, max_by(body, snapshot_no) AS forward, min_by(body, -snapshot_no) AS backward, min_by(body, snapshot_no) AS anchor, count(*) AS steps FROM b GROUP BY citation, ver"
+    "WITH b AS (SELECT citation, ver, snapshot_no, op_marker, md5(body) AS body FROM blocks QUALIFY row_number() OVER (PARTITION BY citation, ver, snapshot_no ORDER BY seen_at DESC, block_id DESC) = 1),"
+    " r AS (SELECT citation, ver, max(snapshot_no) FILTER (WHERE op_marker = 'rep.') AS gone FROM b GROUP BY 1, 2),"
+    f" s AS (SELECT b.citation, b.ver, max_by(body, snapshot_no) FILTER (WHERE body IS NOT NULL AND snapshot_no > coalesce(gone, -1)) AS replayed, max(body) FILTER (WHERE snapshot_no = {LAST}) AS stands, count(*) AS steps"
+    " FROM b JOIN r ON b.citation = r.citation AND b.ver = r.ver GROUP BY 1, 2)"
+    f" SELECT {_CITED} AS citation, ver, replayed, stands, replayed IS NOT DISTINCT FROM stands AS agrees, steps FROM s"
 )
 def chain_replay(spark: SparkSession, d: str) -> DataFrame:
-    """Each section replayed from its first snapshot to its last, whole sections replacing each other; from either end the same text must come out."""
-    rows = table(spark, d, "blocks").where("body IS NOT NULL")
-    last = M.latest_rows(rows.select("citation", "ver", "snapshot_no", "seen_at", "block_id", F.md5("body").alias("body")), ["citation", "ver", "snapshot_no"], ["seen_at", "block_id"])
-    return last.groupBy("citation", "ver").agg(
-        F.max_by("body", "snapshot_no").alias("forward"), F.min_by("body", -F.col("snapshot_no")).alias("backward"), F.min_by("body", "snapshot_no").alias("anchor"), F.count(F.lit(1)).alias("steps")
-    ).withColumn("citation", S.citation_text(F.col("citation")))
+    """The operations on each section replayed in order, from nothing, and held against what stands in the last snapshot."""
+    last = M.latest_rows(
+        table(spark, d, "blocks").select("citation", "ver", "snapshot_no", "seen_at", "block_id", "op_marker", "renumbered_from", F.md5("body").alias("body")), ["citation", "ver", "snapshot_no"], ["seen_at", "block_id"]
+    )
+    steps = last.withColumn("operation", V.typed_operation(F.col("op_marker"), F.col("renumbered_from"), F.lit(False)))
+    out = V.replayed(steps, ["citation", "ver"], "snapshot_no", "operation", "body", LAST)
+    return out.withColumn("citation", S.citation_text(F.col("citation")))
 
 
 @R.query(
@@ -656,10 +669,12 @@ def overlay_badges(spark: SparkSession, d: str) -> DataFrame:
     r"WITH t AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM documents) SELECT doc_id, count(*) AS terms FROM t WHERE term IN ('ferry', 'tariff', 'culvert') GROUP BY 1 HAVING count(*) = 3"
 )
 def full_text(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold all words of a query, by an inverted index of distinct words."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != ""))
-    postings = table(spark, d, "documents").select("doc_id", F.explode(words).alias("term"))
-    return postings.where(F.col("term").isin("ferry", "tariff", "culvert")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms")).where("terms = 3")
+    """Documents that hold all words of a query. Texts without their letters are left out before they are split."""
+    sought = ["ferry", "tariff", "culvert"]
+    low = F.lower("text")
+    held = F.size(F.array_intersect(F.split(low, "[^a-z0-9]+"), F.array(*[F.lit(w) for w in sought])))
+    docs = table(spark, d, "documents").where(functools.reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in sought]))
+    return docs.select("doc_id", held.cast("long").alias("terms")).where(F.col("terms") == len(sought))
 
 
 @R.query(f"SELECT count(DISTINCT pa_key) AS not_reflected FROM (SELECT {_ENACTED} AS pa_key FROM enactments) WHERE pa_key NOT IN (SELECT {_PADDED(_LAST_ACT)} FROM {SECTIONS} WHERE {_LAST_ACT} IS NOT NULL)")
@@ -669,7 +684,7 @@ def not_reflected(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(
-    r"WITH b AS (SELECT citation, ver, snapshot_no, body, doc_id FROM blocks WHERE body IS NOT NULL QUALIFY row_number() OVER (PARTITION BY citation, ver, snapshot_no ORDER BY seen_at DESC, block_id DESC) = 1),"
+    r"WITH b AS (SELECT citation, ver, snapshot_no, body, doc_id FROM blocks QUALIFY row_number() OVER (PARTITION BY citation, ver, snapshot_no ORDER BY seen_at DESC, block_id DESC) = 1),"
     f" c AS (SELECT citation, ver, snapshot_no, doc_id, unnest(list_filter(list_transform(string_split(regexp_replace({sql_collapsed('body')}, '([.;:])[ ]+([A-Z(\"''])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS clause FROM b)"
     f" SELECT {_CITED} AS citation, ver, md5(clause) AS clause, min(snapshot_no) AS since, min_by(doc_id, (snapshot_no, doc_id)) AS source FROM c GROUP BY citation, ver, md5(clause)"
 )
@@ -677,8 +692,8 @@ def blame(spark: SparkSession, d: str) -> DataFrame:
     """For each clause of each section the snapshot and document in which it first stood."""
     from strataleaf.functions.whitespace import collapse
 
-    rows = table(spark, d, "blocks").where("body IS NOT NULL")
-    last = M.latest_rows(rows.select("citation", "ver", "snapshot_no", "seen_at", "block_id", "doc_id", "body"), ["citation", "ver", "snapshot_no"], ["seen_at", "block_id"])
+    rows = table(spark, d, "blocks")
+    last = M.latest_rows(rows.select("citation", "ver", "snapshot_no", "seen_at", "block_id", "doc_id", "body"), ["citation", "ver", "snapshot_no"], ["seen_at", "block_id"]).where("body IS NOT NULL")
     out = V.first_appearances(last.withColumn("clauses", sentence_parts(collapse(F.col("body")))), ["citation", "ver"], "snapshot_no", F.col("clauses"), "doc_id")
     return out.withColumn("citation", S.citation_text(F.col("citation")))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,15 +11,15 @@ from strataleaf.functions.references import hash_value, page_url
 from strataleaf.plans.records import R as RECORDS
 from strataleaf.plans.registry import Registry
 from strataleaf.sources.tables import table
+from strataleaf.session import shared_folder
 from strataleaf.streaming import ledger_stream as T
 
 R = Registry()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one all executors share; a temporary one where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strataleaf-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def stream_folder(spark: SparkSession) -> str:
+    """A new folder below the one all executors share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _ledger_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +33,7 @@ def _ledger_stream(spark: SparkSession, d: str) -> DataFrame:
 @R.query(RECORDS.oracles["refreshes"])
 def streamed_refreshes(spark: SparkSession, d: str) -> DataFrame:
     """ST1, ST2: the refreshes of all fetches, folded by a stream with state; equal to the batch operator's."""
-    folder = shared_folder(spark)
+    folder = stream_folder(spark)
     T.run_available(T.refresh_stream(_ledger_stream(spark, d)), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").select(F.col("fetch_id").alias("ledger_id"), "refresh")
 
@@ -42,7 +41,7 @@ def streamed_refreshes(spark: SparkSession, d: str) -> DataFrame:
 @R.query("SELECT epoch_ms(date_trunc('hour', make_timestamp(epoch_us(fetched_at)))) AS hour_ms, status, count(*) AS n FROM ledger WHERE fetched_at IS NOT NULL GROUP BY ALL")
 def streamed_hours(spark: SparkSession, d: str) -> DataFrame:
     """Fetches of each status in each hour, by a windowed stream with a watermark."""
-    folder = shared_folder(spark)
+    folder = stream_folder(spark)
     hours = T.fetches_by_hour(_ledger_stream(spark, d).where("fetched_at IS NOT NULL"))
 
     def keep(batch: DataFrame, n: int) -> None:

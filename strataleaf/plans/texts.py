@@ -251,7 +251,7 @@ def tidied_bodies(spark: SparkSession, d: str) -> DataFrame:
     rf" coalesce(status = 200 AND regexp_replace(body, '{WS}+', '', 'g') <> '' AND NOT regexp_matches(body, '(?i)Document:\s*[0-9A-Za-z\-]+\s*is not currently available'), false) AS readable,"
     r" coalesce(status = 404, false) OR coalesce(regexp_matches(body, '(?i)Document:\s*[0-9A-Za-z\-]+\s*is not currently available'), false) AS missing,"
     r" coalesce(status = 200 AND NOT regexp_matches(body, '(?i)Document:\s*[0-9A-Za-z\-]+\s*is not currently available') AND length(body) > 500, false) AS published,"
-    r" coalesce(status IN (429, 503, 509), false) OR coalesce(status = 403 AND regexp_matches(substr(body, 1, 4096), '(?i)rate[ -]?limit|too many requests|slow down|temporarily blocked|access denied'), false) AS throttling FROM responses"
+    r" coalesce(status IN (429, 503, 509), false) OR coalesce(status = 403 AND coalesce(regexp_matches(substr(body, 1, 4096), '(?i)rate[ -]?limit|too many requests|slow down|temporarily blocked|access denied'), true), false) AS throttling FROM responses"
 )
 def availability(spark: SparkSession, d: str) -> DataFrame:
     """FL3-FL5, FL10: the three meanings of available, and throttling."""
@@ -317,11 +317,11 @@ def content_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(
-    "WITH e AS (SELECT event_id, (event_id * 37 % 90000)::BIGINT AS s FROM events) SELECT event_id, CASE WHEN s >= 3600 THEN printf('%dh %02dm', s // 3600, s % 3600 // 60) WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS took,"
-    " CASE WHEN s > 0 THEN printf('%.1f%%', 100.0 * (s // 7)::DOUBLE / s) ELSE '-' END AS part FROM e"
+    "WITH e AS (SELECT event_id, (event_id * 37 % 90000 - 100)::BIGINT AS s FROM events) SELECT event_id, CASE WHEN s >= 3600 THEN printf('%dh %dm', s // 3600, s % 3600 // 60) WHEN s >= 60 THEN printf('%dm %ds', s // 60, s % 60) WHEN s < 0 THEN '0s' ELSE printf('%ds', s) END AS took,"
+    " CASE WHEN s > 0 THEN printf('%.1f%%', 100.0 * (s // 7)::DOUBLE / s) ELSE 'n/a' END AS part FROM e"
 )
 def durations(spark: SparkSession, d: str) -> DataFrame:
     """Durations and percentages as they are printed."""
-    s = F.col("event_id") * 37 % 90000
+    s = F.col("event_id") * 37 % 90000 - 100
     return table(spark, d, "events").select("event_id", S.duration(s).alias("took"), S.percent(F.floor(s / 7).cast("double"), s).alias("part"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -29,29 +31,57 @@ def session(app: str = "strataleaf", cores: int | str = 8, **conf: str) -> Spark
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read again from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, named by ``spark.checkpoint.dir``. Only a local session, as in tests, gets a temporary
+    one where that is unset; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="strataleaf-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
-    The folder is the one named by ``spark.checkpoint.dir``, which survives the loss of any executor. Only where
-    that setting is missing (a local session, as in tests) a temporary folder is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+    """``df`` written to the shared folder and read again from there, which survives the loss of any executor."""
+    context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strataleaf-"))
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as a table below the folder all executors share and read again: lineage is cut, and it is read
-    by column as often as needed. The folder is that of :func:`cut_lineage`; its owner clears it."""
+    """``df`` written as a table below the shared folder and read again: lineage is cut, and it is read by column as often
+    as needed. The tables of an application are removed when it ends (:func:`remove_written`)."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="strataleaf-")
-    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+    if base not in _written:
+        _written.add(base)
+        atexit.register(remove_written, spark)
+    path = f"{base}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: set[str] = set()
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Remove the tables that :func:`written` made in this application; results that are still to be computed from them
+    must have been stored before."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    for base in [b for b in _written if b.endswith(context.applicationId)]:
+        path = context._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _written.discard(base)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each application."""
     context = spark.sparkContext

@@ -163,7 +163,7 @@ def test_floor_probe_and_progress(spark):
     probes = spark.createDataFrame([("092-0001", 1), ("093-0001", 2), ("094-0001", 3), ("099-0001", 4)], "pa string, seq int")
     mirror = spark.createDataFrame([("092-0001", True), ("093-0001", True), ("094-0001", False)], "pa string, ok boolean")
     r = G.floor_probe(probes, mirror, "pa", F.col("ok")).first()
-    assert r.probed == 3 and r.disagreements == ["092-0001: published below the floor", "094-0001: not published above the floor"]
+    assert r.probed == 3 and r.disagreements == ["092-0001 is available, but predates the 93rd GA", "094-0001 is unavailable, but is at or above the 93rd GA"]
     p = G.progress(spark.createDataFrame([(0, 0, 0.0), (5, 10, 50.0)], "done int, total int, elapsed_s double")).collect()
     assert (p[0].rate, p[0].part, p[0].to_go_s) == (0.0, 0.0, None) and (p[1].rate, p[1].part, p[1].to_go_s) == (0.1, 0.5, 50.0)
 
@@ -263,6 +263,9 @@ def test_temporal(spark):
     assert [r.id for r in V.as_of(v, at(5), at(2)).orderBy("id").collect()] == [2, 3]
     assert V.as_of(v, at(5), at(1) - F.expr("INTERVAL 1 DAY")).count() == 0
     assert sorted((r.a, r.b) for r in V.overlaps(v, ["provision", "origin"], "id").collect()) == [(1, 3), (2, 3)]
+    assert sorted((r.id, r.holds) for r in V.overlapped(v, ["provision", "origin"], "id").collect()) == [(2, 3), (3, 1)]
+    s = spark.createDataFrame([("p", 1, "add", "a"), ("p", 2, "replace", None), ("q", 1, "add", "a"), ("q", 2, "repeal", "r"), ("r", 1, "repeal", None), ("r", 2, "replace", "b")], "k string, n int, op string, body string")
+    assert sorted((r.k, r.replayed, r.stands, r.agrees) for r in V.replayed(s, ["k"], "n", "op", "body", 2).collect()) == [("p", "a", None, False), ("q", None, "r", False), ("r", "b", "b", True)]
     e = spark.createDataFrame([(1, "p", d(1), d(3), 7, "x"), (2, "p", d(2), d(4), 7, "y"), (3, "p", d(2), d(4), 7, "y"), (4, "p", d(20), d(21), 7, "z"), (5, "p", d(1), d(3), 8, "q")], "id int, provision string, begins timestamp, ends timestamp, base int, result string")
     assert sorted((r.a, r.b) for r in V.contested(e, "provision", "id", 3).collect()) == [(1, 2), (1, 3)]
     ops = spark.createDataFrame([("new", None, False), ("rep.", None, False), (None, "x", False), (None, None, True), (None, None, None)], "m string, r string, p boolean")
