@@ -13,7 +13,7 @@ with the data. Fields are reduced to distinct shapes of whole fields, with count
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from math import exp, inf, log
 from zlib import crc32
 
@@ -26,10 +26,10 @@ from strataleaf.session import cut_lineage
 
 #: Size of the hashed table of shape frequencies: the model takes 8 bytes times this, whatever the data.
 BUCKETS = 1 << 16
-#: Atoms that one value can span.
-SPAN = 4
-#: Learning passes over the column.
-PASSES = 4
+#: Atoms that one value can span: the order of the model.
+SPAN = 8
+#: Learning passes go on until the frequencies of values change by less than this part.
+SETTLED = 0.01
 #: Prior weight of a value.
 MORE = 8.0
 #: Atoms of a field from which sums are made of logarithms.
@@ -159,7 +159,9 @@ def learn(fields: DataFrame, joins: str | None = None) -> np.ndarray:
         fields.where("field IS NOT NULL").groupBy(kept.alias("field")).agg(F.count(F.lit(1)).alias("n"))
     )
     values = np.full(BUCKETS, 1.0 / BUCKETS)
-    for _ in range(PASSES):
+    change = 1.0
+    while change > SETTLED:
+        before = values
         shared = spark.sparkContext.broadcast(values)
 
         def counted(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -176,6 +178,7 @@ def learn(fields: DataFrame, joins: str | None = None) -> np.ndarray:
         values = np.full(BUCKETS, 1e-3)
         values[got["bucket"]] += got["p"]
         values /= values.sum()
+        change = np.abs(values - before).sum() / 2
         shared.unpersist()
     return values
 
@@ -204,7 +207,6 @@ def split_packed(
     ids: list[str],
     field: Column,
     joins: str | None = None,
-    check: Callable[[list[str]], list[str]] | None = None,
     least: int = 1,
 ) -> DataFrame:
     """``ids..., position, value``: one row for each value of ``field``, position from 1.
@@ -214,7 +216,6 @@ def split_packed(
     Repeated rows stay repeated. Other columns of ``rows``, of any name, play no part.
 
     :param joins: a pattern of atoms that only continue a value (its date, its page) and never start one.
-    :param check: an exact correction of the values found.
     :param least: leave out fields with fewer values.
 
     Scale: learning passes over the distinct shapes of fields, then one pass over the rows without a shuffle.
@@ -228,8 +229,6 @@ def split_packed(
         memo: dict = {}
         for batch in batches:
             out = [split_field(f, values, pattern, memo) for f in batch.pop("field")]
-            if check is not None:
-                out = [check(v) for v in out]
             batch["value"] = [v if len(v) >= least else [] for v in out]
             yield batch
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,32 +97,6 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-#: What can only continue a provenance entry: its date or its page.
-CONTINUES = r"(?:eff\.|p\.)\s"
-#: The start of an entry of its own: an Act, a law or a note.
-_ENTRY = re.compile(
-    r"(?:(?:P\.?\s?A\.?|Public Acts?)\s)?\d{2,3}-\d{1,4}(?!\d|-)|(?:Laws|R\.\s?S\.)\s\d{4}|(?:revised|corrected|noted|note)\s", re.I
-)
-_JOINT = re.compile(r"\s*(?:;|,|\||//?|&|\band\b)\s*(?:and\s+)?|(?<=[0-9])\s+")
-
-
-def entries_apart(values: list[str]) -> list[str]:
-    """The exact check: a value that holds a second Act or law after a delimiter is parted there.
-
-    Notes are left whole, as what quotes enclose is one entry.
-    """
-    out = []
-    for value in values:
-        start, first = 0, _ENTRY.match(value)
-        if first is not None and first.group()[0].lower() not in "rcn" or first is not None and first.group().lower().startswith("r.s"):
-            for m in _JOINT.finditer(value):
-                if m.start() > first.end() - 1 and (e := _ENTRY.match(value, m.end())) and not e.group().lower().startswith("note "):
-                    out.append(value[start : m.start()])
-                    start = m.end()
-        out.append(value[start:])
-    return out
-
-
 def packed_entries(spark: SparkSession, directory: str, least: int = 1) -> DataFrame:
     """``record_kind, record_id, position, value`` of every provenance entry."""
     blocks = table(spark, directory, "blocks").select(
@@ -134,7 +106,7 @@ def packed_entries(spark: SparkSession, directory: str, least: int = 1) -> DataF
         F.lit("case").alias("record_kind"), F.col("case_idx").alias("record_id"), F.col("source_line").alias("packed")
     )
     return split_packed(
-        blocks.unionByName(cases), ["record_kind", "record_id"], F.col("packed"), joins=CONTINUES, check=entries_apart, least=least
+        blocks.unionByName(cases), ["record_kind", "record_id"], F.col("packed"), least=least
     )
 
 

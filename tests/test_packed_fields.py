@@ -3,7 +3,8 @@ import re
 from pyspark.sql import functions as F
 
 from strataleaf.operators import packed_fields as P
-from strataleaf.plans.dealt import CONTINUES, entries_apart
+
+CONTINUES = r"(?:eff\.|p\.)\s"
 
 
 def corpus(n=400):
@@ -46,7 +47,7 @@ def test_quotes_wraps_and_empty_places(spark):
     ]
     df = spark.createDataFrame([(i, f) for i, f, _ in corpus() + odd], "id int, field string")
     got = {}
-    for r in P.split_packed(df, ["id"], F.col("field"), joins=CONTINUES, check=entries_apart).orderBy("id", "position").collect():
+    for r in P.split_packed(df, ["id"], F.col("field"), joins=CONTINUES).orderBy("id", "position").collect():
         got.setdefault(r.id, []).append(r.value)
     for i, _, want in odd:
         assert got.get(i, []) == want, i
@@ -57,7 +58,7 @@ def test_quotes_wraps_and_empty_places(spark):
 def test_long_fields_and_ties(spark):
     long = "; ".join(f"P.A. 90-{i}, eff. 1-2-30" for i in range(1, 3000))
     df = spark.createDataFrame([(1, long), (1, long)], "id int, field string")
-    out = P.split_packed(df, ["id"], F.col("field"), joins=CONTINUES, check=entries_apart)
+    out = P.split_packed(df, ["id"], F.col("field"), joins=CONTINUES)
     assert out.count() == 2 * 2999 and out.agg(F.max("position")).first()[0] == 2999
 
 
