@@ -1,9 +1,10 @@
 """Markup residue in text: which kinds a text holds, and the text without it but with its structure.
 
-A text becomes a tree: the page, its lines, and in them the signs that may be markup; what stands inside an HTML element
-hangs below the element. Each node is in one of ``STATES``: the kind of markup that it is, or plain. Potentials tie a
-node's state to its look and to its parent's state. Messages are passed up and down the tree (sum-product) and give
-each sign's marginal; a sign is markup of the kind whose marginal is greatest. The potentials are counted on labelled
+A text becomes a tree: the page, its lines and source trailers, and in them the signs that may be markup; what stands
+inside an HTML element hangs below the element, as in a DOM. Each node is in one of ``STATES``: the kind of markup that it
+is, plain, or part of a citation. Potentials tie a node's state to its look, and to its parent's state by what the parent is (page, line or
+sign). Messages are passed up and down the tree (sum-product) and give each sign's marginal: whether a quote, dash or bar
+is markup is said by the line or trailer around it, and which kind a star is by the page; a sign is markup of the kind whose marginal is greatest. The potentials are counted on labelled
 pages, which :func:`labelled_pages` writes, their number a parameter.
 """
 
@@ -12,7 +13,8 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +22,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STATES = ("plain", "html", "markdown", "wiki", "latex")
+#: The kinds of markup, plain text, and citations: what stands in a source trailer, where the same signs are plain.
+STATES = ("plain", "html", "markdown", "wiki", "latex", "cited")
+MARKUP = range(1, 5)
 #: Labelled pages that the potentials are counted on; what is added to each count of parent and child, and of looks:
 #: a sign that no labelled page has in a state is hardly ever in it, whatever stands around.
 PAGES, SMOOTHING, UNSEEN = 1500, 0.05, 1e-7
@@ -49,21 +53,21 @@ _SIGN = re.compile(
     r"""|(?P<opentag></?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?\Z)"""
     r"""|(?P<entity>&(?:[A-Za-z][A-Za-z0-9]{1,31}|\#[0-9]{1,7}|\#[xX][0-9a-fA-F]{1,6});)"""
     r"""|(?P<begin>\\(?:begin|end)\s?\{[A-Za-z*]+\})"""
-    r"""|(?P<math>\\\[.*?\\\]|\\\(.*?\\\)|\$\$.*?\$\$)"""
+    r"""|(?P<math>\\\[(?:[^\\]|\\(?![\[\]]))*+\\\]|\\\((?:[^\\]|\\(?![()]))*+\\\)|\$\$[^$]+\$\$)"""
     r"""|(?P<command>\\[A-Za-z]+\*?(?=\s?[\[{]))"""
     r"""|(?P<bare>\\[A-Za-z]+)"""
-    r"""|(?P<dollars>\$(?=[^\s$])[^$\n]{0,300}(?:\n(?!\s*\n)[^$\n]{0,300})?\$)"""
+    r"""|(?P<dollars>\$(?=[^\s$])[^$\n]*+(?:\n(?!\s*\n)[^$\n]*+)?\$)"""
     r"""|(?P<tie>~(?=\\[A-Za-z]))"""
-    r"""|(?P<bold>\*\*(?=[^\s*])[^*]{1,400}?\*\*|__(?=[^\s_])[^_\n]{1,400}?[^\s_]__(?![\w_]))"""
-    r"""|(?P<emphasis>\*(?<![\w*]\*)(?=[^\s*])[^*\n]{0,200}?[^\s*]\*(?![\w*])|_(?<![\w_]_)(?=[^\s_])[^_\n]{0,200}?[^\s_]_(?![\w_]))"""
-    r"""|(?P<struck>~~(?=\S)[^~\n]{1,300}?~~)"""
+    r"""|(?P<bold>\*\*(?=[^\s*])[^*]++\*\*|__(?=[^\s_])[^_\n]+(?<!\s)__(?![\w_]))"""
+    r"""|(?P<emphasis>\*(?<![\w*]\*)(?=[^\s*])[^*\n]++(?<!\s)\*(?![\w*])|_(?<![\w_]_)(?=[^\s_])[^_\n]++(?<!\s)_(?![\w_]))"""
+    r"""|(?P<struck>~~(?=\S)[^~\n]++~~)"""
     r"""|(?P<fence>```[A-Za-z]*)"""
-    r"""|(?P<code>`(?=[^`\s])[^`\n]{0,300}(?:\n(?!\s*\n)[^`\n]{0,300})?`)"""
-    r"""|(?P<quotes>'''(?=[^\s'])[^']{1,400}?'''|''(?=[^\s'])[^']{1,400}?''(?!'))"""
-    r"""|(?P<wikilink>\[\[[^\[\]]{1,300}\]\])"""
-    r"""|(?P<mdlink>\[[^\[\]]{1,300}\]\((?:[^()\s]|\s(?=["']))[^()]{0,500}\)|!\[[^\[\]]{0,300}\]\([^()]{1,500}\))"""
-    r"""|(?P<extlink>\[(?:https?|ftp)://[^\[\]]{1,500}\])"""
-    r"""|(?P<template>\{\{[^{}]{1,500}\}\})"""
+    r"""|(?P<code>`(?=[^`\s])[^`\n]*+(?:\n(?!\s*\n)[^`\n]*+)?`)"""
+    r"""|(?P<quotes>'''(?=[^\s'])[^']++'''|''(?=[^\s'])[^']++''(?!'))"""
+    r"""|(?P<wikilink>\[\[[^\[\]]++\]\])"""
+    r"""|(?P<mdlink>\[[^\[\]]++\]\((?:[^()\s]|\s(?=["']))[^()]*+\)|!\[[^\[\]]*+\]\([^()]++\))"""
+    r"""|(?P<extlink>\[(?:https?|ftp)://[^\[\]]++\])"""
+    r"""|(?P<template>\{\{(?=[^{}]))"""
     r"""|(?P<magic>__(?:NO)?TOC__)"""
     r"""|(?P<wikitable>\n[ \t]*(?:\{\|[^\n]*|\|\}|\|-+[^\n|]*(?=\n|\Z)|![^\n!]+!![^\n]*|\|[^\n|]*\|\|[^\n]*))"""
     r"""|(?P<wikihead>\n(?P<eq>={2,6})[ \t]*(?=[^\s=])[^\n]*?[^\s=][ \t]*(?P=eq)[ \t]*(?=\n|\Z))"""
@@ -77,16 +81,53 @@ _SIGN = re.compile(
 )
 
 
-def signs_in(text: str) -> Iterator[re.Match[str]]:
-    """All signs in ``text``, the first alternative at each place, without overlap."""
-    at = 0
-    for start in _START.finditer(text):
-        if start.start() >= at and (m := _SIGN.match(text, start.start())):
-            at = m.end()
-            yield m
+_BRACES = re.compile(r"\{\{|\}\}")
+
+
+def template_ends(text: str) -> dict[int, int]:
+    """Where each template that is closed ends, by where it begins, whatever stands in it."""
+    ends, opened = {}, []
+    for m in _BRACES.finditer(text):
+        if m.group() == "{{":
+            opened.append(m.start())
+        elif opened:
+            ends[opened.pop()] = m.end()
+    return ends
+
+
+def signs_in(text: str) -> Iterator[tuple[str, int, int]]:
+    """``(kind, start, end)`` of all signs in ``text``, the first alternative at each place, without overlap."""
+    at, templates = 0, None
+    for found in _START.finditer(text):
+        start = found.start()
+        if start >= at and (m := _SIGN.match(text, start)):
+            kind, end = m.lastgroup if m.lastgroup != "eq" else "wikihead", m.end()
+            if kind == "template":
+                templates = template_ends(text) if templates is None else templates
+                if (end := templates.get(start, 0)) <= start + 4:
+                    continue
+            at = end
+            yield kind, start, end
 
 
 _TRAILER = re.compile(r"\(Source:")
+_BRACKET = re.compile(r"[()]|\n[ \t]*\n")
+
+
+def trailers(text: str) -> tuple[list[int], list[int]]:
+    """Where source trailers begin and end: with their bracket, or, left open, with their paragraph or where the next begins."""
+    begins, ends = [m.start() for m in _TRAILER.finditer(text)], []
+    for start, following in zip(begins, [*begins[1:], len(text)]):
+        depth, end = 0, following
+        for m in _BRACKET.finditer(text, start, following):
+            depth += {"(": 1, ")": -1}.get(m.group(), 0)
+            if depth <= 0 or m.group()[0] == "\n":
+                end = m.end()
+                break
+        ends.append(end)
+    return begins, ends
+
+
 _TEX = re.compile(r"\\[A-Za-z]|[_^]\{|[_^=]")
 
 
@@ -108,7 +149,7 @@ def looks() -> dict[str, int]:
     """The looks of nodes, numbered."""
     names = [g for g in _SIGN.groupindex if g != "eq"]
     names += [n + "?" for n in ("tag", "opentag", "entity", "bare", "dollars")]
-    names = ["page", "line", "trailer", *names, *(n + "@trailer" for n in ("quotes", "bold", "emphasis", "dash", "mdtable", "star", "rule"))]
+    names = ["page", "line", "trailer", *names]
     return {n: i for i, n in enumerate(names)}
 
 
@@ -120,36 +161,51 @@ class Tree:
     def __init__(self, text: str) -> None:
         known = looks()
         self.parent, self.look, self.signs = [-1], [known["page"]], []
-        trailer = [m.start() + 1 for m in _TRAILER.finditer(text)]
-        line, line_end, open_elements, lower, closed = 0, -1, [], "", {}
-        for m in signs_in("\n" + text):
-            kind, start, end = m.lastgroup if m.lastgroup != "eq" else "wikihead", m.start(), m.end()
-            content = m.group()
-            inside = any(t <= start for t in trailer)
-            if start >= line_end or not self.signs:
+        page = "\n" + text
+        begins, ends = trailers(page)
+        line, line_end, in_trailer, lower, closed = 0, -1, -1, "", {}
+        open_elements: list[tuple[str, int]] = []
+        how_many: dict[str, int] = {}
+        for kind, start, end in signs_in(page):
+            content = page[start:end]
+            near = bisect_right(begins, start) - 1
+            inside = near if near >= 0 and start < ends[near] else -1
+            if start >= line_end or inside != in_trailer or not self.signs:
                 self.parent.append(0)
-                self.look.append(known["trailer" if inside else "line"])
-                line = len(self.look) - 1
-                line_end = text.find("\n", max(start, 0)) + 1 or len(text) + 1
+                self.look.append(known["trailer" if inside >= 0 else "line"])
+                line, in_trailer = len(self.look) - 1, inside
+                # a trailer is one node, however many lines it has
+                line_end = ends[inside] if inside >= 0 else page.find("\n", start + 1) + 1 or len(page) + 1
             look = _look(kind, content)
-            if inside and look + "@trailer" in known:
-                look += "@trailer"
-            self.parent.append(open_elements[-1][1] if open_elements else line)
+            self.parent.append(open_elements[-1][1] if open_elements and inside < 0 else line)
             self.look.append(known[look])
             node = len(self.look) - 1
             self.signs.append((node, start - 1, end - 1, kind))
             if look == "tag" and content[-2] != "/":
                 name = re.match(r"</?([A-Za-z0-9]+)", content).group(1).lower()
                 if content[1] != "/":
-                    if name not in VOID and len(open_elements) < 12:
+                    if name not in VOID:
                         if name not in closed:
-                            lower = lower or text.lower()
+                            lower = lower or page.lower()
                             closed[name] = lower.rfind("</" + name)
-                        if closed[name] >= end - 1:  # an element that is never closed holds nothing
+                        if closed[name] >= end:  # an element that is never closed holds nothing
                             open_elements.append((name, node))
-                elif name in (n for n, _ in open_elements):
-                    while open_elements.pop()[0] != name:
-                        pass
+                            how_many[name] = how_many.get(name, 0) + 1
+                elif how_many.get(name):
+                    while True:
+                        popped = open_elements.pop()[0]
+                        how_many[popped] -= 1
+                        if popped == name:
+                            break
+
+
+#: What a parent is, for the potentials of its children: the page, a line or trailer, a sign.
+PARENTS = 3
+
+
+def _parent_kind(look: np.ndarray) -> np.ndarray:
+    known = looks()
+    return np.where(look == known["page"], 0, np.where((look == known["line"]) | (look == known["trailer"]), 1, 2))
 
 
 def marginals(trees: list[Tree], unary: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -168,6 +224,8 @@ def marginals(trees: list[Tree], unary: np.ndarray, pair: np.ndarray) -> np.ndar
                 own[i] = own[p] + 1
     levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)]
 
+    above_kind = _parent_kind(look[np.maximum(parent, 0)])  # which potentials tie a node to its parent
+
     def summed(x: np.ndarray, axis: int) -> np.ndarray:
         top = x.max(axis=axis, keepdims=True)
         return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
@@ -175,12 +233,12 @@ def marginals(trees: list[Tree], unary: np.ndarray, pair: np.ndarray) -> np.ndar
     up = unary[look].copy()  # own look and what the children say
     message = np.zeros_like(up)  # from a node to its parent
     for nodes in reversed(levels[1:]):
-        message[nodes] = summed(pair[None, :, :] + up[nodes][:, None, :], 2)
+        message[nodes] = summed(pair[above_kind[nodes]] + up[nodes][:, None, :], 2)
         np.add.at(up, parent[nodes], message[nodes])
     belief = up.copy()
     for nodes in levels[1:]:
         above = belief[parent[nodes]] - message[nodes]
-        belief[nodes] += summed(pair[None, :, :] + above[:, :, None], 1)
+        belief[nodes] += summed(pair[above_kind[nodes]] + above[:, :, None], 1)
     belief -= summed(belief, 1)[:, None]
     return belief
 
@@ -233,14 +291,14 @@ def labelled_pages(pages: int = PAGES, seed: int = 11) -> Iterator[tuple[str, st
         ],
     }
     for _ in range(pages):
-        kind = rng.choice(STATES)
+        kind = rng.choice(STATES[:5])
         pieces: list[tuple[str, str]] = [(f"({n()} ILCS {n()}/{n()})\n", "plain")] if rng.random() < 0.5 else []
         for _ in range(rng.randint(2, 9)):
             for _ in range(rng.randint(1, 3)):
                 if kind != "plain" and rng.random() < 0.6:
                     pieces.append((rng.choice(makers[kind])(), kind))
                 elif rng.random() < 0.04:
-                    other = rng.choice(STATES[1:])
+                    other = rng.choice(STATES[1:5])
                     pieces.append((rng.choice(makers[other])(), other))
                 else:
                     pieces.append((plain(), "plain"))
@@ -256,8 +314,8 @@ def labelled_pages(pages: int = PAGES, seed: int = 11) -> Iterator[tuple[str, st
 
 @lru_cache(2)
 def potentials(pages: int = PAGES) -> tuple[np.ndarray, np.ndarray]:
-    """Log potentials (look given state, state given the parent's), counted on labelled pages."""
-    unary, pair = np.full((len(STATES), len(looks())), UNSEEN), np.full((len(STATES), len(STATES)), SMOOTHING)
+    """Log potentials (look given state, state given what the parent is and its state), counted on labelled pages."""
+    unary, pair = np.full((len(STATES), len(looks())), UNSEEN), np.full((PARENTS, len(STATES), len(STATES)), SMOOTHING)
     for text, kind, spans in labelled_pages(pages):
         tree = Tree(text)
         starts = [s for s, _, _ in spans]
@@ -267,14 +325,18 @@ def potentials(pages: int = PAGES) -> tuple[np.ndarray, np.ndarray]:
             at = np.searchsorted(starts, max(start + (text[start : start + 1] == "\n"), 0), "right") - 1
             state[node] = STATES.index(spans[at][2])
             up = tree.parent[node]
-            if tree.look[up] in (looks()["line"], looks()["trailer"]) and state[up] == 0:
+            if tree.look[up] == looks()["trailer"]:
+                state[up] = STATES.index("cited")
+                state[node] = state[node] or state[up]
+            if tree.look[up] == looks()["line"] and state[up] == 0:
                 state[up] = state[node]
+        kinds = _parent_kind(np.asarray(tree.look))
         for node, look in enumerate(tree.look):
             unary[state[node], look] += 1
-            if tree.parent[node] >= 0:
-                pair[state[tree.parent[node]], state[node]] += 1
+            if (above := tree.parent[node]) >= 0:
+                pair[kinds[above], state[above], state[node]] += 1
     unary = np.log(unary / unary.sum(1, keepdims=True))
-    return unary.T.copy(), np.log(pair / pair.sum(1, keepdims=True))
+    return unary.T.copy(), np.log(pair / pair.sum(2, keepdims=True))
 
 
 def read_signs(texts: list[str | None]) -> list[list[tuple[int, int, str, str]]]:
@@ -290,11 +352,27 @@ def read_signs(texts: list[str | None]) -> list[list[tuple[int, int, str, str]]]
         if t is None or not t.signs:
             out.append([])
             continue
-        out.append([(max(s, 0), e, kind, STATES[best[at + node]]) for node, s, e, kind in t.signs if best[at + node]])
+        out.append([(max(s, 0), e, kind, STATES[best[at + node]]) for node, s, e, kind in t.signs if best[at + node] in MARKUP])
         at += len(t.look)
     return out
 
 
+#: Characters of texts whose trees are held at once; a longer text is read by itself.
+TOGETHER = 1 << 20
+
+
+def read_in_groups(texts: Iterable[str | None]) -> Iterator[tuple[str | None, list[tuple[int, int, str, str]]]]:
+    """Each text with its signs that are markup (:func:`read_signs`)."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text or "")
+        if size >= TOGETHER:
+            yield from zip(group, read_signs(group))
+            group, size = [], 0
+    yield from zip(group, read_signs(group))
+
+
 _NAME = re.compile(r"</?([A-Za-z0-9]+)")
 _ESCAPED = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?/?>")
 _BREAKS = frozenset("p div br tr table ul ol dl center blockquote hr body html pre section article".split())
@@ -432,7 +510,7 @@ def markup_kinds(text: Column) -> Column:
     @F.pandas_udf("array<string>")
     def kinds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([sorted({m for _, _, _, m in signs}) for signs in read_signs(list(texts))], dtype="object")
+            yield pd.Series([sorted({m for _, _, _, m in signs}) for _, signs in read_in_groups(texts)], dtype="object")
 
     return kinds(text)
 
@@ -448,9 +526,8 @@ def clean_parts(text: Column) -> Column:
     @F.pandas_udf("array<struct<kind: string, text: string>>")
     def parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            texts = list(texts)
             yield pd.Series(
-                [[{"kind": k, "text": p} for k, p in parts_of(t, s)] if t else [] for t, s in zip(texts, read_signs(texts))], dtype="object"
+                [[{"kind": k, "text": p} for k, p in parts_of(t, s)] if t else [] for t, s in read_in_groups(texts)], dtype="object"
             )
 
     return parts(text)
