@@ -35,19 +35,15 @@ _WORD = re.compile(r"\w+")
 
 
 @lru_cache(1)
-def _one_form() -> tuple[lookalikes.Rewriter, re.Pattern[str]]:
-    return lookalikes.Rewriter(*lookalikes.representatives({})), lookalikes.suspects()
+def _one_form() -> lookalikes.Rewriter:
+    return lookalikes.Rewriter(*lookalikes.representatives({}))
 
 
 def words(text: str | None) -> list[str]:
     """The words of a text, in one form of their characters and without case; none of null."""
     if not text:
         return []
-    if not text.isascii():
-        rewrite, odd = _one_form()
-        if odd.search(text):
-            text = rewrite(text)
-    return _WORD.findall(text.casefold())
+    return _WORD.findall(_one_form().one(text).casefold())
 
 
 class Items:

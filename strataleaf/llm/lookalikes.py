@@ -19,21 +19,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Letters of other scripts that are drawn like a Latin letter.
+# Letters of other scripts that are drawn like a Latin letter, as in the confusables of Unicode's TR 39.
 LATIN_OF_CYRILLIC = {
     "а": "a", "А": "A", "В": "B", "е": "e", "Е": "E", "К": "K", "М": "M", "Н": "H", "о": "o", "О": "O", "р": "p", "Р": "P",
     "с": "c", "С": "C", "Т": "T", "у": "y", "У": "Y", "х": "x", "Х": "X", "і": "i", "І": "I", "ј": "j", "Ј": "J", "ѕ": "s",
     "Ѕ": "S", "һ": "h", "ԁ": "d", "ԛ": "q", "Ԛ": "Q", "ԝ": "w", "Ԝ": "W", "ӏ": "l",
+    "ѵ": "v", "Ѵ": "V",
 }
 LATIN_OF_GREEK = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "ο": "o", "Ρ": "P",
     "Τ": "T", "Υ": "Y", "Χ": "X", "ϲ": "c", "Ϲ": "C", "ϳ": "j",
+    "α": "a", "ι": "i", "ν": "v", "ρ": "p", "υ": "u",
 }
 # Characters that are not seen at all, and hyphens drawn like hyphen-minus.
 UNSEEN = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿" + "".join(map(chr, range(0xFE00, 0xFE10)))
 HYPHENS = "‐‑﹣－"
-#: Texts that the ordinary member of a class is given beyond those that hold it, so that a tiny corpus can't outvote it.
-ORDINARY = 1000
+#: The part of all texts that the ordinary member of a class is given beyond those that hold it, whatever their number:
+#: another member stands for the class only if it is in so many more texts.
+ORDINARY = 0.5
 
 
 class UnionFind:
@@ -94,7 +97,7 @@ def classes() -> tuple[tuple[tuple[str, ...], frozenset[str]], ...]:
         for a, b in table.items():
             same.unite(a, b)
             ordinary.add(a)
-    for at in [*range(0x80, 0x3100), *range(0xA640, 0xAB70), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFFEF)]:
+    for at in [*range(0x80, 0x3100), *range(0xA640, 0xAB70), *range(0xF900, 0xFB07), *range(0xFF01, 0xFFEF), *range(0x2F800, 0x2FA1E)]:
         ch = chr(at)
         if ch in UNSEEN or ch in HYPHENS:
             continue
@@ -130,23 +133,18 @@ def pieces() -> ahocorasick.Automaton:
     return found
 
 
-@lru_cache(1)
-def suspects() -> re.Pattern[str]:
-    """Any character without which a text is in its ordinary form: all that is no ordinary single member."""
-    odd = set()
-    for members, ordinary in classes():
-        for m in members:
-            if m and m not in ordinary:
-                odd.add(m[-1])
-            elif script(m) in ("Cyrillic", "Greek") and any(x.isascii() for x in members):
-                odd.add(m)
-    odd = {ch for ch in odd if not ch.isascii()}
-    # Latin letters in a word of another script are found by their neighbours
-    return re.compile("[" + "".join(re.escape(c) for c in sorted(odd)) + "]|[Ѐ-ԯͰ-Ͽ][A-Za-z]|[A-Za-z][Ѐ-ԯͰ-Ͽ]")
+def suspects(anywhere: dict[str, str]) -> tuple[re.Pattern[str], bool]:
+    """Any character without which a text is in its one form already: the last ones of all members that give way by
+    ``anywhere``, jamo, which may make a syllable, and letters of two scripts side by side; and whether ASCII is among them."""
+    odd = {m[-1] for m in anywhere if m}
+    pattern = "[" + "".join(re.escape(c) for c in sorted(odd)) + "\u1100-\u11ff]"
+    for letters in ("[\u0370-\u03ff\u1f00-\u1fff]", "[\u0400-\u052f]"):
+        pattern += rf"|{letters}(?!{letters})[^\W\d_]|[^\W\d_](?<!{letters}){letters}"
+    return re.compile(pattern), any(c.isascii() for c in odd)
 
 
 def count_members(texts: DataFrame) -> dict[str, int]:
-    """In how many texts of the corpus, a column ``text``, each member of a class stands.
+    """In how many texts of the corpus, a column ``text``, each member of a class stands, and under ``""`` their number.
 
     Texts and not places are counted, so that one long text can't outvote the others. At most as many rows as there are
     members reach the driver.
@@ -158,12 +156,13 @@ def count_members(texts: DataFrame) -> dict[str, int]:
         marks = re.compile("[" + "".join({re.escape(m[-1]) for m in known if len(m) > 1 and not m.isascii()}) + "]")
         sums: Counter[str] = Counter()
         for batch in batches:
+            sums[""] += len(batch)  # the number of texts
             for text in batch["text"]:
                 sums.update(set(text))
                 sums.update([m for m in joined if m in text])
                 if not text.isascii() and marks.search(text):
                     sums.update({m for _, m in pieces().iter_long(text)})
-        kept = {m: n for m, n in sums.items() if m in known}
+        kept = {m: n for m, n in sums.items() if m in known or not m}
         yield pd.DataFrame({"member": list(kept), "n": list(kept.values())}).astype({"member": "object", "n": "int64"})
 
     rows = texts.where("text IS NOT NULL").select("text").mapInPandas(counted, "member string, n bigint")
@@ -174,12 +173,14 @@ def representatives(counts: dict[str, int]) -> tuple[dict[str, str], dict[tuple[
     """What stands for each member in any word, and for each (letter, script of its word) in a word of mixed scripts.
 
     In any word a member gives way to the most frequent member of its class that has its own script, or, if it has
-    none, to the most frequent of all.
+    none, to the most frequent of all; the ordinary member has a part of all texts on its side. Members that Unicode
+    composes are never chosen over their composed form.
     """
+    prior = ORDINARY * max(1, counts.get("", 0))
     anywhere: dict[str, str] = {}
     mixed: dict[tuple[str, str], str] = {}
     for members, ordinary in classes():
-        score = lambda m: (float("inf") if not m else counts.get(m, 0) + ORDINARY * (m in ordinary), m in ordinary, -len(m), m)  # noqa: B023, E731
+        score = lambda m: (not m, unicodedata.is_normalized("NFC", m), counts.get(m, 0) + prior * (m in ordinary), m in ordinary, -len(m), m)  # noqa: B023, E731
         best = {s: max((m for m in members if script(m) == s), key=score) for s in {script(m) for m in members}}
         top = max(members, key=score)
         for m in members:
@@ -211,6 +212,11 @@ class Rewriter:
             if m:
                 self.words.add_word(m, (len(m), to))
         self.words.make_automaton()
+        self.odd, self.ascii = suspects(anywhere)
+
+    def one(self, text: str) -> str:
+        """The text's one form; a text without anything that gives way is passed on after one scan."""
+        return text if text.isascii() and not self.ascii or self.odd.search(text) is None else self(text)
 
     def _word(self, m: re.Match[str]) -> str:
         word = m.group()
@@ -225,7 +231,9 @@ class Rewriter:
         return "".join(self.mixed.get((c, to), c) for c in word)
 
     def __call__(self, text: str) -> str:
-        for _ in range(4):
+        seen = set()
+        while text not in seen:  # until nothing changes any more
+            seen.add(text)
             out, at = [], 0
             for end, (size, to) in self.words.iter_long(text):
                 start = end - size + 1
@@ -236,10 +244,7 @@ class Rewriter:
             new = "".join(out) + text[at:]
             if not unicodedata.is_normalized("NFC", new):
                 new = unicodedata.normalize("NFC", new)
-            new = _WORD.sub(self._word, new)
-            if new == text:
-                break
-            text = new
+            text = _WORD.sub(self._word, new)
         return text
 
 
@@ -256,9 +261,9 @@ def one_form(counts: dict[str, int]) -> callable:
 
     @F.pandas_udf("string")
     def rewritten(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        rewrite, odd = Rewriter(anywhere, mixed), suspects()
+        rewrite = Rewriter(anywhere, mixed)
         for texts in batches:
-            yield pd.Series([t if t is None or t.isascii() or odd.search(t) is None else rewrite(t) for t in texts], dtype="object")
+            yield pd.Series([t if t is None else rewrite.one(t) for t in texts], dtype="object")
 
     return rewritten
 
