@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strataleaf.llm import leakage as K
@@ -64,9 +65,39 @@ def test_odd_rows(spark):
     assert K.leaked(d, "id", F.col("text"), i.limit(0), "item_id", "t").count() == 0
 
 
-def test_items_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(K, "ITEMS_AT_ONCE", 2)
-    items = [(k, " ".join(f"k{k}x{j}" for j in range(12)), None) for k in range(5)]
-    d = spark.createDataFrame([(k, t) for k, t, _ in items], "id int, text string")
-    i = spark.createDataFrame(items, "item_id int, t string, answer string")
-    assert {(r.doc_id, r.item_id) for r in K.leaked(d, "id", F.col("text"), i, "item_id", "t").collect()} == {(k, k) for k in range(5)}
+def test_the_space_is_that_of_an_exact_decomposition(spark):
+    """The energy of all passages and weighted items that the basis holds, against that of the exact SVD's directions."""
+    docs, items, _ = make()
+    own = K.Items([i for i, _, _ in items], [t for _, t, _ in items], [None] * len(items))
+    texts = spark.createDataFrame([(str(d).encode(), t) for d, t in docs], "mark binary, text string")
+    passages = K.passage_table(texts, spark.sparkContext.broadcast(own))
+    rank = 10
+    idf, basis = K.latent_space(passages, own, rank=rank)
+    assert np.allclose(basis.T @ basis, np.eye(rank), atol=1e-3)
+
+    def dense(columns):
+        rows = K.Rows(np.concatenate([np.asarray(c) for c in columns]), np.array([len(c) for c in columns]), idf)
+        out = np.zeros((len(columns), len(idf)))
+        out[rows.row, rows.column] = rows.value
+        return out
+
+    matrix = dense([c for _, t in docs for _, c in own.passages(K.words(t))])
+    mine = dense([[c for _, x in own.passages(w) for c in x] for w in own.words])
+    assert len(matrix) == passages.count() and np.allclose(np.linalg.norm(matrix, axis=1), 1)
+    both = np.vstack([matrix, mine * np.sqrt(K.ITEM_WEIGHT * len(matrix) / len(mine))])
+    exact = np.linalg.svd(both)[2][:rank].T
+    held = lambda b: (np.linalg.norm(both @ b) ** 2)
+    assert held(basis) >= 0.97 * held(exact)
+    assert held(basis) >= 1.2 * held(np.linalg.qr(np.random.default_rng(1).standard_normal(basis.shape))[0])
+
+
+def test_candidates_against_brute_force(spark):
+    """Every pair that an exact search of all places finds is found; with other items beside them the same pairs are."""
+    docs, items, _ = make(seed=12)
+    w, texts = {i: t.split() for i, t, _ in items}, {d: K.words(t) for d, t in docs}
+    want = {(d, i) for d, t in texts.items() for i, item in w.items() if len({*item} & {*t}) >= 0.4 * len({*item}) and K.best_place(item, t, 0, len(t))[0] >= 0.5 * len(item)}
+    d = spark.createDataFrame(docs, "doc_id int, text string")
+    for more in ([], [(100 + k, " ".join(f"k{k}x{j}" for j in range(12)), None) for k in range(30)]):
+        i = spark.createDataFrame(items + more, "item_id int, t string, answer string")
+        got = {(r.doc_id, r.item_id) for r in K.leaked(d, "doc_id", F.col("text"), i, "item_id", "t").collect()}
+        assert got <= want and len(got) >= 0.95 * len(want)
