@@ -271,8 +271,8 @@ def leaked(documents: DataFrame, doc_id: str, text: Column, items: DataFrame, it
                     q, item = pair["item"], items.words[pair["item"]]
                     n = len(item)
                     begin, end = max(0, pair["lo"] - n), min(len(w), pair["hi"] + PASSAGE + n)
-                    if len({*item}.intersection(w[begin:end])) < least * len({*item}) - (n - len({*item})):
-                        continue  # fewer words than any subsequence that counts has
+                    if common_words(item, w[begin:end]) < least * n:
+                        continue  # no place of it has more
                     got, where = best_place(item, w, begin, end)
                     if got >= least * n:
                         answer = items.answers[q]

@@ -133,14 +133,20 @@ def pieces() -> ahocorasick.Automaton:
     return found
 
 
-def suspects(anywhere: dict[str, str]) -> tuple[re.Pattern[str], bool]:
-    """Any character without which a text is in its one form already: the last ones of all members that give way by
-    ``anywhere``, jamo, which may make a syllable, and letters of two scripts side by side; and whether ASCII is among them."""
-    odd = {m[-1] for m in anywhere if m}
-    pattern = "[" + "".join(re.escape(c) for c in sorted(odd)) + "\u1100-\u11ff]"
-    for letters in ("[\u0370-\u03ff\u1f00-\u1fff]", "[\u0400-\u052f]"):
-        pattern += rf"|{letters}(?!{letters})[^\W\d_]|[^\W\d_](?<!{letters}){letters}"
-    return re.compile(pattern), any(c.isascii() for c in odd)
+#: Letters of Greek and Cyrillic, and those beside a letter that isn't.
+_FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f\u1f00-\u1fff]")
+_BESIDE = re.compile("|".join(rf"[{x}][^\W\d_{x}]|[^\W\d_{x}][{x}]" for x in (r"Ͱ-Ͽἀ-῿", r"Ѐ-ԯ")))
+
+
+def suspects(anywhere: dict[str, str]) -> tuple[re.Pattern[str], re.Pattern[str], bool]:
+    """Any character without which a text is in its one form already, unless it mixes scripts: the last ones of all members
+    that give way by ``anywhere``, and jamo, which may make a syllable; those beyond U+FFFF by themselves, first and last of
+    each run, as sets of them are sought one by one; and whether ASCII is among them."""
+    odd = sorted({m[-1] for m in anywhere if m})
+    near, far = [c for c in odd if c <= "\uffff"], [c for c in odd if c > "\uffff"]
+    runs = [c for c in far if chr(ord(c) - 1) not in far], [c for c in far if chr(ord(c) + 1) not in far]
+    beyond = "".join(f"{a}-{b}" for a, b in zip(*runs))
+    return re.compile("[" + "".join(map(re.escape, near)) + "\u1100-\u11ff]"), re.compile(f"[{beyond}]" if far else r"(?!)"), any(c.isascii() for c in odd)
 
 
 def count_members(texts: DataFrame) -> dict[str, int]:
@@ -212,11 +218,15 @@ class Rewriter:
             if m:
                 self.words.add_word(m, (len(m), to))
         self.words.make_automaton()
-        self.odd, self.ascii = suspects(anywhere)
+        self.odd, self.far, self.ascii = suspects(anywhere)
 
     def one(self, text: str) -> str:
         """The text's one form; a text without anything that gives way is passed on after one scan."""
-        return text if text.isascii() and not self.ascii or self.odd.search(text) is None else self(text)
+        if text.isascii() and not self.ascii:
+            return text
+        if self.odd.search(text) is None and self.far.search(text) is None and (_FOREIGN.search(text) is None or _BESIDE.search(text) is None):
+            return text
+        return self(text)
 
     def _word(self, m: re.Match[str]) -> str:
         word = m.group()
