@@ -70,8 +70,8 @@ def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p7_offsets(spark: SparkSession, directory: str) -> DataFrame:
-    """Where each token begins in its text, in bytes."""
-    return tokens.encoded(table(spark, directory, "documents"), ["doc_id"], F.col("text"), offsets=True).select("doc_id", "starts")
+    """Where each token begins and ends in its text, in bytes and in characters."""
+    return tokens.encoded(table(spark, directory, "documents"), ["doc_id"], F.col("text"), offsets=True).select("doc_id", "starts", "ends", "first_chars", "end_chars")
 
 
 def p7_round_trip(spark: SparkSession, directory: str) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,17 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
+def spans(text: str, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of tokens of these numbers of bytes: where each begins and ends in bytes, and in characters."""
+    ends = np.cumsum(np.asarray(sizes, "int64"))
+    starts = ends - sizes
+    # the character that each byte belongs to: all but the continuing bytes begin one
+    character = np.cumsum((np.frombuffer(text.encode("utf-8", "replace"), "uint8") & 0xC0) != 0x80) - 1
+    if not len(ends):
+        return starts, ends, starts, ends
+    return starts, ends, character[starts], character[ends - 1] + 1
+
+
 def _groups(texts: list[str]) -> Iterator[list[str]]:
     group, size = [], 0
     for text in texts:
@@ -65,7 +77,9 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
 
 
 def encoded(rows: DataFrame, ids: list[str], text: Column, path: str | None = None, offsets: bool = False) -> DataFrame:
-    """``ids..., ids ARRAY<INT>`` and, if asked for, ``starts ARRAY<INT>``: where each token begins, in bytes of UTF-8.
+    """``ids..., ids ARRAY<INT>`` and, if asked for, ``starts, ends, first_chars, end_chars ARRAY<INT>``: where each token
+    begins and ends in bytes of UTF-8, the character in which it begins, and the one after that in which it ends. Tokens that
+    split a character share it.
 
     No special tokens are added. A null and an empty text give empty lists. Whole texts are encoded, of any length;
     the bytes of a token may be part of a character. Repeated rows stay repeated; other columns play no part.
@@ -73,30 +87,28 @@ def encoded(rows: DataFrame, ids: list[str], text: Column, path: str | None = No
     Scale: one pass without a shuffle, in Arrow batches; each worker reads the vocabulary at ``path`` once.
     """
     path = path or default_path()
+    told_names = ["starts", "ends", "first_chars", "end_chars"] if offsets else []
     kept = rows.select(*[F.col(f"`{c}`").alias(f"id{i}") for i, c in enumerate(ids)], text.cast("string").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sizes = tokenizer(path), token_bytes(path)
         for batch in batches:
-            lists, starts = [], []
+            lists: list = []
+            told: list[list] = [[] for _ in told_names]
             for group in _groups([t or "" for t in batch.column("text").to_pylist()]):
-                for done in own.encode_batch(group, add_special_tokens=False):
+                for text, done in zip(group, own.encode_batch(group, add_special_tokens=False)):
                     lists.append(done.ids)
                     if offsets:
-                        at, begins = 0, []
-                        for i in done.ids:
-                            begins.append(at)
-                            at += len(sizes[i])
-                        starts.append(begins)
+                        for column, found in zip(told, spans(text, [len(sizes[i]) for i in done.ids])):
+                            column.append(found)
             kind = pa.list_(pa.int32())
-            columns = [*batch.columns[:-1], pa.array(lists, kind)] + ([pa.array(starts, kind)] if offsets else [])
-            names = [*batch.schema.names[:-1], "tokens"] + (["starts"] if offsets else [])
-            yield pa.RecordBatch.from_arrays(columns, names)
+            columns = [*batch.columns[:-1], pa.array(lists, kind), *(pa.array(x, kind) for x in told)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "tokens", *told_names])
 
     kinds = ", ".join(f"id{i} {rows.schema[c].dataType.simpleString()}" for i, c in enumerate(ids))
-    schema = f"{kinds}, tokens array<int>" + (", starts array<int>" if offsets else "")
+    schema = f"{kinds}, tokens array<int>" + "".join(f", {n} array<int>" for n in told_names)
     return kept.mapInArrow(encode, schema).select(
-        *[F.col(f"id{i}").alias(c) for i, c in enumerate(ids)], F.col("tokens").alias("ids"), *(["starts"] if offsets else [])
+        *[F.col(f"id{i}").alias(c) for i, c in enumerate(ids)], F.col("tokens").alias("ids"), *told_names
     )
 
 

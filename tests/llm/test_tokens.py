@@ -37,3 +37,15 @@ def test_split_characters_empty_lists_and_tables(spark):
     assert got[1].startswith("na") and got[2] == "" and got[3] == ""
     assert T.encoded(frame(spark).limit(0), ["id"], F.col("text")).count() == 0
     assert len(T.bytes_of_characters()) == 256 and sorted(T.bytes_of_characters().values()) == list(range(256))
+
+
+def test_spans_in_bytes_and_characters(spark):
+    texts = ["The fee is due.", "\u767b\u8bb0\u516c\u5e03 \u00e9tat \U0001f642!", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for r in T.encoded(df, ["id"], F.col("text"), offsets=True).collect():
+        text = texts[r.id] or ""
+        raw = text.encode()
+        assert len(r.starts) == len(r.ends) == len(r.first_chars) == len(r.end_chars) == len(r.ids)
+        assert r.starts == [0, *r.ends[:-1]][: len(r.ids)] and (r.ends[-1:] or [0])[0] == len(raw)
+        for a, b, x, y in zip(r.starts, r.ends, r.first_chars, r.end_chars):
+            assert raw[a:b] in text[x:y].encode() and len(text[:x].encode()) <= a and b <= len(text[:y].encode())
