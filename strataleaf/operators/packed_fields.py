@@ -27,7 +27,7 @@ from strataleaf.session import cut_lineage
 #: Size of the hashed table of shape frequencies: the model takes 8 bytes times this, whatever the data.
 BUCKETS = 1 << 16
 #: Atoms that one value can span: the order of the model.
-SPAN = 8
+SPAN = 4
 #: Learning passes go on until the frequencies of values change by less than this part.
 SETTLED = 0.01
 #: Prior weight of a value.
