@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +32,12 @@ GROWTH = 3
 LEAST = 0.05
 #: Words before a text's end that are aligned.
 TAIL = 24
-#: Characters of a last, perhaps cut, word that are part of its key, and flags of the two words before it that are sought.
-HEAD, FLAGS = 3, 1 << 20
-#: Shingles that are hashed at once.
+#: Characters of a last, perhaps cut, word that are part of its key, and bits of the filter of what is sought (16 MB).
+HEAD, BITS = 3, 1 << 27
+#: Shingles that are hashed, and rows that are returned, at once.
 CHUNK = 1 << 14
+#: Words that are looked at, rows that are taken from Arrow, and words whose hashes are kept, at once.
+PIECE, SLICE, KNOWN = 1 << 12, 256, 200_000
 
 _WORD = re.compile(r"\w+")
 _STOPS = ".?!。！？؟।"
@@ -46,6 +48,7 @@ _SEEDS = _random.integers(1, 1 << 63, BANDS * ROWS, dtype="uint64") | np.uint64(
 _SHIFTS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype="uint64")
 _PLACES = _random.integers(1, 1 << 63, SHINGLE, dtype="uint64") | np.uint64(1)
 _WEIGHTS = _random.integers(1, 1 << 63, ROWS, dtype="uint64") | np.uint64(1)
+_PAIRED = _random.integers(1, 1 << 63, 3, dtype="uint64") | np.uint64(1)
 
 
 def hash_of(text: str) -> int:
@@ -64,12 +67,12 @@ class Shingler:
         if len(words) < SHINGLE:
             return np.zeros(0, "uint64")
         known = self.known
-        if len(known) > 200_000:
+        if len(known) > KNOWN:
             known.clear()
         try:
             hashes = np.array([known[w] for w in words], "uint64")
         except KeyError:
-            known.update({w: hash_of(w) for w in {*words} - known.keys()})
+            known.update({w: hash_of(w) for w in {*words} if w not in known})  # a difference would go through all that are kept
             hashes = np.array([known[w] for w in words], "uint64")
         n = len(words) - SHINGLE + 1
         with np.errstate(over="ignore"):
@@ -124,13 +127,72 @@ def _bands(group: list[np.ndarray]) -> Iterator[list[list[int]]]:
         at += len(s)
 
 
-def closing_key(before: str, word: str) -> int:
-    """Of the two words before the last, and the last as far as ``HEAD`` characters."""
-    return hash_of(before + "\0" + word[:HEAD]) - (1 << 63)
+class Heads:
+    """Hashes of words and, after these, of their beginnings of 1 to ``HEAD`` characters, 0 where a word has fewer, as rows of
+    a table; they are kept from one piece of a text to the next."""
 
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((KNOWN, HEAD + 1), "uint64")
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        """The rows of at most ``KNOWN`` words."""
+        known = self.known
+        if len(known) + len(words) > KNOWN:
+            known.clear()
+        for w in words:
+            if w not in known:
+                self.table[len(known)] = [hash_of(w), *(hash_of(w[:n]) if n <= len(w) else 0 for n in range(1, HEAD + 1))]
+                known[w] = len(known)
+        return np.array([known[w] for w in words], "int64")
+
+
+def closing_keys(first: np.ndarray, second: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Of the hashes of the two words before the last, and of the last as far as ``HEAD`` characters."""
+    with np.errstate(over="ignore"):
+        found = first * _PLACES[0] + second * _PLACES[1] + head * _PLACES[2]
+    return found ^ (found >> np.uint64(31))
+
+
+def closing_key(words: list[str]) -> int:
+    return int(closing_keys(*[np.array([hash_of(w)], "uint64") for w in (*words[-3:-1], words[-1][:HEAD])]).view("int64")[0])
+
+
+def _paired(keys: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        found = keys * _PAIRED[0] + buckets * _PAIRED[1]
+    return found ^ (found >> np.uint64(31))
+
+
+def _places(keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The bits of the filter that are set for keys, and pairs of a key and a bucket."""
+    return np.concatenate([keys, pairs, pairs >> np.uint64(32)]) & np.uint64(BITS - 1)
 
-def _flag(before: str) -> int:
-    return crc32(before.encode("utf-8", "replace")) % FLAGS
+
+def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bits of these hashes are set."""
+    at = hashes & np.uint64(BITS - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype("uint8") & 1).astype(bool)
+
+
+def _sliced(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch, of which few at a time are held as Python's objects."""
+    for at in range(0, batch.num_rows, SLICE):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns))
+
+
+def pieces(text: str) -> Iterator[tuple[list[str], bool]]:
+    """The words of a text, at most ``PIECE`` at a time, with the two words before them first; whether these are the last."""
+    if len(text) <= 2 * PIECE:
+        yield text.split(), True
+        return
+    held: list[str] = []
+    for m in re.finditer(r"\S+", text):
+        held.append(m.group())
+        if len(held) > PIECE:
+            yield held[:-1], False
+            del held[:-3]
+    yield held, True
 
 
 def own_words(text: str) -> list[str]:
@@ -138,31 +200,73 @@ def own_words(text: str) -> list[str]:
 
 
 def banded(texts: DataFrame) -> DataFrame:
-    """``mark, low, top, key, part, flag`` of a table ``mark, text``: one row for each text with five words or more, with
-    the buckets of its shorter beginnings and those of its longest, and what its last words are sought by.
+    """``mark, low, top, key, part`` of a table ``mark, text``: one row for each text with five words or more, with the
+    buckets of its shorter beginnings and those of its longest, and what its last words are sought by.
 
     Written: its rows are small, whatever the texts.
     """
+    schema = pa.schema([("mark", pa.binary()), ("low", pa.list_(pa.int64())), ("top", pa.list_(pa.int64())), ("key", pa.int64()), ("part", pa.string())])
+
+    def told(out: list[tuple], held: list[np.ndarray]) -> pa.RecordBatch:
+        found = [([b for x in f[:-1] for b in x], f[-1]) for f in bands(held)]
+        return pa.RecordBatch.from_pylist([dict(zip(schema.names, (mark, *f, key, part))) for (mark, key, part), f in zip(out, found)], schema)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
+        out, held, size = [], [], 0
         for batch in batches:
-            out, held = [], []
-            for mark, text in zip(batch["mark"], batch["text"]):
+            for mark, text in _sliced(batch):
                 words = own_words(text)
                 if len(words) > 2 and len(own := shingles(text)):
-                    before = " ".join(words[-3:-1])
-                    out.append((mark, closing_key(before, words[-1]), words[-1], _flag(before)))
+                    out.append((mark, closing_key(words), words[-1]))
                     held.append(own)
-            low, top = [], []
-            for found in bands(held):
-                low.append([b for x in found[:-1] for b in x])
-                top.append(found[-1])
-            rows = pd.DataFrame(out, columns=["mark", "key", "part", "flag"])
-            rows["low"], rows["top"] = pd.Series(low, dtype="object"), pd.Series(top, dtype="object")
-            yield rows[["mark", "low", "top", "key", "part", "flag"]]
+                    size += len(own)
+                    if size >= 4 * CHUNK:
+                        yield told(out, held)
+                        out, held, size = [], [], 0
+        yield told(out, held)
+
+    return written(texts.select("mark", "text").mapInArrow(rows, "mark binary, low array<bigint>, top array<bigint>, key bigint, part string"))
 
-    return written(texts.mapInPandas(rows, "mark binary, low array<bigint>, top array<bigint>, key bigint, part string, flag int"))
+
+def _sought(wanted: DataFrame) -> np.ndarray:
+    """The filter, in bytes, of a table ``bucket, key``: of all rows of any number, a table of ``BITS`` bits."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buckets, keys = [batch.column(c).to_numpy().view("uint64") for c in ("bucket", "key")]
+            at = _places(keys, _paired(keys, buckets))
+            bits = np.left_shift(np.uint64(1), at & np.uint64(63)).view("int64")
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype("int32")), pa.array(bits)], ["slot", "bits"])
+
+    got = wanted.select("bucket", "key").mapInArrow(rows, "slot int, bits bigint").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, "int64")
+    out[got["slot"].to_numpy()] = got["bits"].to_numpy()  # at most BITS / 64 rows
+    return out.view("uint8")
+
+
+def following_rows(bits: np.ndarray, hashes: Heads, mark: bytes, text: str, buckets: list[int]) -> Iterator[tuple[list, np.ndarray, np.ndarray, list]]:
+    """Columns ``other, bucket, key, word`` of what the filter has of a text in these buckets: pieces of any number of rows."""
+    own = np.array(buckets, "int64").view("uint64")
+    for words, last in pieces(text):
+        if len(words) < 3:
+            continue
+        before, after = words[:-1], words[2:]
+        if last:  # after the last word nothing goes on
+            after[-1] = after[-1][:-1]
+        at = hashes(before + after)
+        third = at[len(before) :]
+        heads = hashes.table[third, 1:]
+        keys = closing_keys(hashes.table[at[: len(third)], :1], hashes.table[at[1 : len(third) + 1], :1], heads)
+        i, n = np.nonzero((heads != 0) & _set(bits, keys))
+        found = keys[i, n]
+        with np.errstate(over="ignore"):
+            _, once = np.unique(found + third[i].astype("uint64") * _PAIRED[2], return_index=True)  # a key and its word
+        i, found = i[once], found[once]
+        pairs = _paired(found[:, None], own)
+        j, b = np.nonzero(_set(bits, pairs) & _set(bits, pairs >> np.uint64(32)))
+        if len(j):
+            yield [mark] * len(j), own[b].view("int64"), found[j].view("int64"), [after[x] for x in i[j]]
 
 
 def near_copies(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -173,7 +277,8 @@ def near_copies(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     is among these; of a bucket of any size only texts meet that can go on alike.
 
     Scale: one row a text is written; buckets are counted by an aggregate that combines before the shuffle; of the words
-    sought a table of ``FLAGS`` flags is sent, so that others are not shuffled.
+    sought, alone and with their buckets, a filter of ``BITS`` bits is sent, so that others are not shuffled. Workers hold a
+    piece of one text and ``CHUNK`` rows or those of one piece, whatever the texts and however much of them is sought.
     """
     rows = banded(texts)
     places = rows.select(
@@ -187,30 +292,35 @@ def near_copies(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("bucket")
     )
     crowded = written(places.join(shared, "bucket", "left_semi").distinct())
-    asking = written(crowded.where("asks").select("mark", "bucket").join(rows.select("mark", "key", "part", "flag").dropDuplicates(["mark"]), "mark"))
-    flags = np.zeros(FLAGS, bool)
-    flags[asking.select("flag").distinct().toPandas()["flag"].to_numpy("int64")] = True  # at most FLAGS rows
-    sought = texts.sparkSession.sparkContext.broadcast(flags)
+    asking = written(crowded.where("asks").select("mark", "bucket").join(rows.select("mark", "key", "part").dropDuplicates(["mark"]), "mark"))
+    wanted = written(asking.select("bucket", "key").distinct())
+    sought = texts.sparkSession.sparkContext.broadcast(_sought(wanted))
+    schema = pa.schema([("other", pa.binary()), ("bucket", pa.int64()), ("key", pa.int64()), ("word", pa.string())])
+
+    def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = Heads(), [], 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            others, buckets, keys, words = zip(*held)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([x for o in others for x in o], pa.binary()), pa.array(np.concatenate(buckets)), pa.array(np.concatenate(keys)), pa.array([x for w in words for x in w], pa.string())], schema=schema
+            )
+            return (out.slice(at, CHUNK) for at in range(0, out.num_rows, CHUNK))
 
-    def followed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags = sought.value
         for batch in batches:
-            rows = []
-            for mark, text in zip(batch["mark"], batch["text"]):
-                words = text.split()
-                found = set()
-                for i, (first, second, word) in enumerate(zip(words, words[1:], words[2:])):
-                    if flags[_flag(before := first + " " + second)]:
-                        found.add((before, word if i + 3 < len(words) else word[:-1]))  # after the last word nothing goes on
-                keys = {(closing_key(before, word[:n]), word) for before, word in found for n in range(1, min(HEAD, len(word)) + 1)}
-                rows += ((mark, key, word) for key, word in keys)
-            yield pd.DataFrame(rows, columns=["other", "key", "word"])
-
-    near = crowded.join(asking.select("bucket").distinct(), "bucket", "left_semi").select(F.col("mark").alias("other"), "bucket").distinct()
-    known = texts.join(near.select(F.col("other").alias("mark")).distinct(), "mark", "left_semi")
-    follows = known.mapInPandas(followed, "other binary, key bigint, word string").join(asking.select("key").distinct(), "key", "left_semi").distinct()
-    wanted = asking.select("bucket", "key").distinct()
-    return asking.drop("flag"), written(near.join(follows, "other").join(wanted, ["bucket", "key"], "left_semi"))
+            for mark, text, buckets in _sliced(batch):
+                for found in following_rows(sought.value, hashes, mark, text, buckets):
+                    held.append(found)
+                    size += len(found[0])
+                    if size >= CHUNK:
+                        yield from told()
+                        held, size = [], 0
+        if held:
+            yield from told()
+
+    near = crowded.groupBy("mark").agg(F.collect_set("bucket").alias("buckets"))
+    follows = texts.join(near, "mark").select("mark", "text", "buckets").mapInArrow(followed, "other binary, bucket bigint, key bigint, word string")
+    return asking, written(follows.join(wanted, ["bucket", "key"], "left_semi").distinct())
 
 
 def alignment_end(text: str, other: str) -> int | None:
@@ -251,18 +361,18 @@ def cut_by_copies(texts: DataFrame) -> DataFrame:
     """
     asking, following = near_copies(texts)
 
-    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         for batch in batches:
             found = []
-            for mark, own, whole in zip(batch["mark"], batch["own"], batch["whole"]):
+            for mark, own, whole in _sliced(batch):
                 end = alignment_end(own, whole)
                 if end is None or not goes_on(whole, end):
                     continue
                 a = np.unique(shingles(" ".join(own_words(own)[:-1])))
                 if not len(a) or np.isin(a, shingles(whole)).sum() >= SIMILAR * len(a):
                     found.append(mark)
-            yield pd.DataFrame({"mark": pd.Series(found, dtype="object")})
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["mark"])
 
     def verified(asking: DataFrame, following: DataFrame) -> DataFrame:
         pairs = written(
@@ -273,7 +383,7 @@ def cut_by_copies(texts: DataFrame) -> DataFrame:
         both = pairs.join(once.withColumnRenamed("text", "own"), "mark").join(
             once.select(F.col("mark").alias("other"), F.col("text").alias("whole")), "other"
         )
-        return written(both.select("mark", "own", "whole").mapInPandas(aligned, "mark binary").distinct())
+        return written(both.select("mark", "own", "whole").mapInArrow(aligned, "mark binary").distinct())
 
     first = following.groupBy("bucket", "key", "word").agg(F.max_by("other", F.xxhash64("other")).alias("other"))
     by_first = verified(asking, first)

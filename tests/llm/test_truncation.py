@@ -1,6 +1,8 @@
 import random
+import threading
 
 import numpy as np
+import psutil
 from pyspark.sql import functions as F
 
 from strataleaf.llm import terminality
@@ -126,3 +128,54 @@ def test_odd_rows_and_hot_copies(spark):
     assert len(out) == len(rows) and {r.id for r in out if r.cut and r.id < 1000} == {*range(50), 103, 105, 107}
     empty = spark.createDataFrame([], "id int, text string")
     assert T.truncated(empty, ["id"], F.col("text")).count() == 0
+
+
+def test_workers_hold_few_of_the_rows_that_are_sought(spark):
+    """Texts of which nearly all is sought: the worker's memory must not grow with what is found in a batch of them."""
+    rng = random.Random(7)
+    some = [f"{x}{x}{x}{x}" for x in "abcdefghijkl"]
+    opening = "one two three four five"
+    texts = [f"{opening} {' '.join(rng.choices(some, k=1000))} end" for _ in range(1500)]
+    texts += [f"{opening} {a} {b} {c}" for a in some for b in some for c in some]
+    df = spark.createDataFrame(texts, "string").select(F.unhex(F.md5("value")).alias("mark"), F.col("value").alias("text")).coalesce(1)
+    peaks, over = {}, threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            for p in psutil.Process().children(recursive=True):
+                try:
+                    if "pyspark.daemon" in " ".join(p.cmdline()):
+                        peaks[p.pid] = max(peaks.get(p.pid, 0), p.memory_info().rss)
+                except psutil.Error:
+                    pass
+
+    watching = threading.Thread(target=watch)
+    watching.start()
+    try:
+        asking, following = T.near_copies(df)
+        got = following.select("key").distinct().count()
+    finally:
+        over.set()
+        watching.join()
+    assert asking.select("mark").distinct().count() == len(some) ** 3 and got == len(some) ** 3
+    assert max(peaks.values()) < 400e6
+
+
+def test_pieces_and_what_follows():
+    rng = random.Random(9)
+    bits, bucket = np.zeros(T.BITS // 8, "uint8"), 77
+    for n in (0, 1, 2, 3, 50, T.PIECE - 1, T.PIECE, T.PIECE + 1, 2 * T.PIECE - 1, 3 * T.PIECE + 5):
+        text = " ".join(rng.choice("abcd") * rng.randint(3, 5) for _ in range(n))
+        words = text.split()
+        got = list(T.pieces(text))
+        assert [x for _, x in got] == [False] * (len(got) - 1) + [True] and max(len(p) for p, _ in got) <= T.PIECE
+        assert [w for k, (p, _) in enumerate(got) for w in (p[2:] if k else p)] == words
+        found = {(T.closing_key([a, b, w[:h]]), w) for a, b, w in zip(words, words[1:], [*words[2:-1], *[x[:-1] for x in words[2:][-1:]]]) for h in range(1, min(T.HEAD, len(w)) + 1)}
+        rows = lambda: {(k, w) for o, b, ks, ws in T.following_rows(bits, T.Heads(), b"m", text, [bucket, 5]) for x, k, w in zip(b, ks.tolist(), ws) if x == bucket}
+        bits[:] = 0
+        assert not rows()
+        wanted = {k for k, _ in found if rng.random() < 0.5}
+        keys = np.array(sorted(wanted), "int64").view("uint64")
+        at = T._places(keys, T._paired(keys, np.full(len(keys), bucket, "uint64")))
+        np.bitwise_or.at(bits, at >> np.uint64(3), np.left_shift(1, (at & np.uint64(7)).astype("int64")).astype("uint8"))
+        assert {(k, w) for k, w in found if k in wanted} <= rows() <= found
